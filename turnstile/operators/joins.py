@@ -23,9 +23,9 @@ def band_join(left: DataFrame, right: DataFrame, value: str, band_start: str, wi
     band rows are written twice and the join becomes an equi-join with a residual test.
     """
     slot = "__slot"
-    lefts = left.withColumn(slot, F.floor(F.col(value) / F.lit(width)))
-    first = F.floor(F.col(band_start) / F.lit(width))
-    last = F.ceil((F.col(band_start) + F.lit(width)) / F.lit(width)) - F.lit(1)
+    lefts = left.withColumn(slot, F.floor(F.col(value) / F.lit(width)).cast("long"))
+    first = F.floor(F.col(band_start) / F.lit(width)).cast("long")
+    last = F.ceil((F.col(band_start) + F.lit(width)) / F.lit(width)).cast("long") - F.lit(1)
     rights = right.withColumn(slot, F.explode(F.sequence(first, last)))
     joined = lefts.join(rights, [*_on(on), slot])
     return joined.filter(

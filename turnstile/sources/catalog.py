@@ -22,15 +22,17 @@ class Catalog:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self._tables: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         raise NotImplementedError
 
     def table(self, name: str, *columns: str) -> DataFrame:
-        df = self.read(name)
-        renamed = [snake(c) for c in df.columns]
-        if renamed != df.columns:
-            df = df.toDF(*renamed)
+        if name not in self._tables:
+            raw = self.read(name)
+            renamed = [snake(c) for c in raw.columns]
+            self._tables[name] = raw if renamed == raw.columns else raw.toDF(*renamed)
+        df = self._tables[name]
         if not columns:
             return df
         missing = [c for c in columns if c not in df.columns]

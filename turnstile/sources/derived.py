@@ -8,6 +8,7 @@ snake case. Even orders feed the first payment stack, odd orders the second.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -345,19 +346,36 @@ def with_tables(sql: str) -> str:
     return f"WITH {text},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {text}\n{body}"
 
 
+_CATALOGS: dict[tuple, DerivedCatalog] = {}
+
+
 class DerivedCatalog(Catalog):
     """Domain tables over the Parquet files of a folder of given tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._known: dict[str, DataFrame] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> DerivedCatalog:
+        """The catalog of a folder; its lazy frames serve every job of a session until the files change."""
+        stamp = tuple((f.name, f.stat().st_size, f.stat().st_mtime_ns) for f in sorted(Path(sf_dir).glob("*"))) if Path(sf_dir).is_dir() else ()
+        key = (spark.sparkContext.applicationId, sf_dir, stamp)
+        if key not in _CATALOGS:
+            _CATALOGS[key] = cls(spark, sf_dir)
+        return _CATALOGS[key]
+
+    def _frame(self, key: str) -> DataFrame:
+        if key not in self._known:
+            if key in BASE:
+                self._known[key] = self.spark.read.parquet(f"{self.sf_dir}/{key}.parquet")
+            else:
+                used = [w for w in dict.fromkeys(_WORD.findall(TABLES[key])) if w in TABLES or w in BASE]
+                text = _WORD.sub(lambda m: f"{{{m.group()}}}" if m.group() in used else m.group(), TABLES[key])
+                self._known[key] = self.spark.sql(text, **{w: self._frame(w) for w in used})
+        return self._known[key]
 
     def read(self, name: str) -> DataFrame:
         schema, _, table = name.partition(".")
-        key = f"{schema}_{snake(table)}"
-        needed = closure([key])
-        text = " ".join(TABLES[n] for n in needed)
-        bases = [b for b in BASE if re.search(rf"\b{b}\b", text)]
-        ctes = [f"{b} AS (SELECT * FROM parquet.`{self.sf_dir}/{b}.parquet`)" for b in bases]
-        ctes += [f"{n} AS ({TABLES[n]})" for n in needed]
-        return self.spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {key}")
+        return self._frame(f"{schema}_{snake(table)}")
