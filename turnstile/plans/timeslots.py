@@ -28,21 +28,26 @@ def timeslots(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame:
     `requests`: request_id, cookie_id, park_id, date, product_level_id, accessible, use_percent.
     """
     now = X.clock(as_of)
-    levels = cat.table("prdct.ProductLevel", "id", "ordinal").toDF("product_level_id", "wanted_ordinal")
-    asked = requests.withColumn("dow", X.dow0("date")).join(levels, "product_level_id", "left")
-    bundles = base_bundles(cat, asked, now)
-    slots = open_slots(cat, asked, now)
+    wanted = asked(cat, requests)
+    bundles = base_bundles(cat, wanted, now)
+    slots = open_slots(cat, wanted, now)
     matched = jn.band_join(slots, bundles, "start_hour", "band_start", 1, on="request_id")
     return _decorate(cat, matched)
 
 
+def asked(cat: Catalog, requests: DataFrame) -> DataFrame:
+    """Requests with their weekday and the ordinal of the wanted level."""
+    levels = cat.table("prdct.ProductLevel", "id", "ordinal").toDF("product_level_id", "wanted_ordinal")
+    return requests.withColumn("dow", X.dow0("date")).join(levels, "product_level_id", "left")
+
+
 def timeslot_documents(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame:
     """(request_id, part, Slots): slots of a request in order of start and theme."""
     rows = timeslots(cat, requests, as_of)
     return doc.child_arrays(rows, "request_id", OUTPUT, ["start_hour", "party_theme", "end_hour", "bundle_schedule_id"], "Slots")
 
 
-def base_bundles(cat: Catalog, asked: DataFrame, now) -> DataFrame:
+def base_bundles(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     """One party bundle per request and start hour: active before inactive, then cheapest."""
     bundle = cat.table("product.Bundle", "id", "park_id", "bundle_type_id", "start_date", "end_date", "is_active").filter(
         F.col("bundle_type_id") == codes.BUNDLE_PARTY
@@ -62,7 +67,7 @@ def base_bundles(cat: Catalog, asked: DataFrame, now) -> DataFrame:
         bundle.join(schedule, "bundle_id").join(hours, "category_schedule_id").join(category, "category_id")
         .join(content.join(tickets, "ticket_id"), "bundle_id").join(occ.allocated_bundles(cat), "bundle_id", "left")
     )
-    wanted = offers.join(asked, ["park_id", "dow", "product_level_id"]).filter(
+    wanted = offers.join(requests, ["park_id", "dow", "product_level_id"]).filter(
         (F.coalesce("b_start", "c_start") <= F.col("date")) & (F.coalesce("b_end", "c_end") >= F.col("date"))
         & (~F.col("use_percent") | F.col("bundle_allocated").isNotNull())
     )
@@ -85,14 +90,14 @@ def base_bundles(cat: Catalog, asked: DataFrame, now) -> DataFrame:
     return win.keep_first(priced, ["request_id", "band_start"], order).drop("list_price", "cookie_id").withColumnRenamed("bundle_active", "is_active")
 
 
-def open_slots(cat: Catalog, asked: DataFrame, now) -> DataFrame:
+def open_slots(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     """Slots with price and count: the day's schedule, else dated templates, else default ones."""
     schedule = cat.table("booking.Schedule", "id", "park_id", "date", "deleted").filter(F.col("deleted").isNull()).select(F.col("id").alias("schedule_id"), "park_id", "date")
     template = cat.table("booking.Template", "id", "park_id", "start_date", "end_date", "is_default", "is_active", "deleted").filter(
         F.col("is_active") & F.col("deleted").isNull()
     ).withColumnRenamed("id", "template_id")
     day = ["park_id", "date"]
-    unscheduled = asked.join(schedule.select(*day).distinct(), day, "left_anti")
+    unscheduled = requests.join(schedule.select(*day).distinct(), day, "left_anti")
     dated = template.filter(F.col("start_date").isNotNull() & F.col("end_date").isNotNull()).select("template_id", "park_id", "start_date", "end_date")
     overridden = jn.interval_join(unscheduled.select(*day).distinct(), dated, "date", "start_date", "end_date", "park_id").select(*day, "template_id")
     default = template.filter(F.col("start_date").isNull() & F.col("end_date").isNull() & F.col("is_default")).select("template_id", "park_id")
@@ -102,7 +107,7 @@ def open_slots(cat: Catalog, asked: DataFrame, now) -> DataFrame:
     detail = cat.table("booking.ScheduleDetails", "id", "schedule_id", "resource_id", "start_hour", "end_hour", "minimum_product_level_id", "party_theme_id", "deleted").filter(
         F.col("deleted").isNull()
     ).withColumnRenamed("id", "schedule_detail_id").drop("deleted")
-    scheduled = _suitable(cat, asked.join(schedule, day).join(detail, "schedule_id"))
+    scheduled = _suitable(cat, requests.join(schedule, day).join(detail, "schedule_id"))
     scheduled = occ.free_details(cat, now, scheduled).join(_own_cart_weight(cat), ["cookie_id", "resource_type_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     pattern = cat.table("booking.TemplateDetails", "template_id", "resource_id", "day_of_week", "start_hour", "end_hour", "minimum_product_level_id", "party_theme_id", "deleted").filter(
         F.col("deleted").isNull()
