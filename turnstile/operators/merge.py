@@ -131,11 +131,7 @@ def assign_ids(df: DataFrame, order: list[str], as_: str, start=0, bucket: Colum
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__offset"))
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     numbered = rows.withColumn("__n", inside).join(offsets, "__bucket")
-    if isinstance(start, DataFrame):
-        numbered = numbered.crossJoin(start.toDF("__start"))
-        base = F.coalesce(F.col("__start"), F.lit(0))
-    else:
-        base = F.lit(start)
+    base = start.scalar() if isinstance(start, DataFrame) else F.lit(start)
     return numbered.select(*df.columns, (base + F.col("__offset") + F.col("__n")).cast("long").alias(as_))
 
 

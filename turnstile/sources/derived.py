@@ -187,10 +187,10 @@ TABLES |= {
     "events_franchise_schedule_exclusions": f"SELECT s_suppkey * 10 + k.i AS id, s_suppkey * 2 + 1 AS franchise_schedule_detail_id, 1 + k.i AS exclusion_type_id, DATE '2024-01-01' + k.i AS exclusion_date, CASE WHEN k.i = 1 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' END AS deleted FROM supplier JOIN x_number k ON k.i < 2 WHERE s_suppkey % 2 = 0",
     "acct_subscription": """
 SELECT o_orderkey AS id, o_custkey AS account_id, CASE WHEN o_orderkey % 26 = 0 THEN NULL WHEN o_custkey % 3 = 0 AND o_orderkey % 4 = 0 THEN -1 - o_custkey ELSE o_custkey END AS person_id, o_orderkey % 150 AS product_id,
-       CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 200 END AS ticket_id, CASE WHEN o_orderkey % 6 = 2 THEN o_orderkey % 200 + o_orderkey % 8 / 2 - o_orderkey % 8 / 2 END AS bundle_id,
+       CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 200 END AS ticket_id, CASE WHEN o_orderkey % 12 = 2 THEN o_orderkey % 200 END AS bundle_id,
        CASE CAST(floor(o_orderkey / 2) AS BIGINT) % 6 WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 301 WHEN 3 THEN 1000 WHEN 4 THEN 400 ELSE 500 END AS subscription_status_id,
        TIMESTAMP_NTZ '2024-01-01 04:00:00' + (o_orderkey % 61) * INTERVAL '1' DAY AS expiration_date, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey + 2 END AS upgraded_from_subscription_id
-FROM orders WHERE o_orderkey % 2 = 0""".replace(" + o_orderkey % 8 / 2 - o_orderkey % 8 / 2", ""),
+FROM orders WHERE o_orderkey % 2 = 0""",
     "acct_person_image": "SELECT c_custkey AS person_id, true AS is_active, 1 + c_custkey % 2 AS person_image_type_id, c_custkey AS image_id FROM customer",
     "media_image": "SELECT c_custkey AS id, 'images/' || c_custkey AS location FROM customer WHERE c_custkey % 3 <> 0",
     "acct_account_waiver": "SELECT c_custkey AS id, c_custkey AS account_id, c_nationkey AS park_id, DATE '2024-01-01' + CAST(c_custkey % 40 AS INT) AS expiration_date FROM customer",
@@ -251,7 +251,7 @@ UNION ALL SELECT 'py_' || o_orderkey, {CREATED} + INTERVAL '9' DAY FROM orders W
     "invoice_adjustment_invoice": "SELECT o_orderkey AS id, o_orderkey AS invoice_header_id FROM orders WHERE o_orderkey % 14 = 0",
     "invoice_adjustment_payment": "SELECT o_orderkey AS id, o_orderkey AS adjustment_invoice_id, -1 - o_orderkey AS payment_id FROM orders WHERE o_orderkey % 14 = 0",
     "invoice_adjustment_detail": "SELECT 'a' || id AS id, order_id AS adjustment_invoice_id, id AS invoice_detail_id, -1 * net AS principle_adjustment, -1 * tax AS tax_adjustment, 1 + n % 2 AS quantity_adjustment FROM x_line WHERE order_id % 14 = 0",
-    "invoice_invoice_redemption_detail": f"SELECT o_orderkey - 2 AS subscription_id, o_orderkey AS invoice_header_id, {CREATED} + INTERVAL '1' DAY AS modified_date FROM orders WHERE o_orderkey % 12 = 6",
+    "invoice_invoice_redemption_detail": f"SELECT o_orderkey - 2 AS subscription_id, o_orderkey AS invoice_header_id, {CREATED} + INTERVAL '1' DAY AS modified_date FROM orders WHERE o_orderkey % 12 = 6 UNION ALL SELECT o_orderkey, o_orderkey, {CREATED} + INTERVAL '1' DAY FROM orders WHERE o_orderkey % 24 = 4",
     "invoice_invoice_header_participant": "SELECT o_orderkey AS invoice_header_id, o_custkey AS participant_id FROM orders WHERE o_orderkey % 10 = 0",
     "invoice_sub_account_location": "SELECT n_nationkey AS location_id, n_nationkey % 5 AS sub_account_id FROM nation WHERE n_nationkey % 4 <> 1",
 }
