@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile import codes
+from turnstile.functions import scalars as X
 from turnstile.operators.windows import keep_first
 
 
@@ -139,6 +140,13 @@ def max_id(df: DataFrame, col: str = "id") -> DataFrame:
     return df.agg(F.coalesce(F.max(col), F.lit(0)).alias("max_id"))
 
 
+def with_new_ids(new: DataFrame, target: DataFrame, natural: list[str], col: str = "id") -> DataFrame:
+    """Ids for rows about to be inserted: the next numbers, or derived ones where the target's are text."""
+    if target.schema[col].dataType.simpleString() == "string":
+        return new.withColumn(col, X.derived_uuid(*natural))
+    return assign_ids(new.drop(col), natural, col, max_id(target, col))
+
+
 def relink(rows: DataFrame, row_id: str, link_col: str, links: DataFrame) -> DataFrame:
     """Point rows at the parent named for them in `links` (row_id, parent); others keep theirs."""
     found = links.select(row_id, F.col("parent").alias("__parent"), F.lit(True).alias("__hit"))

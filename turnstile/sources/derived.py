@@ -307,7 +307,7 @@ SELECT o_orderkey + 7 AS id, o_orderkey AS booking_id, {_m('500')} AS base_price
        {_m('7.5')} AS extra_price, CAST(o_orderkey % 5 AS INT) AS extra_participant_count, 'ck-' || o_orderkey AS cookie_id, o_orderkey % 2 = 0 AS is_quote, false AS is_group_sales, CAST(o_orderdate AS DATE) + 30 AS expiration_date, 'se@example.org' AS email_address FROM orders WHERE o_orderkey % 9 = 0""",
     "booking_booking_item": f"""
 SELECT o_orderkey * 4 + k.i AS id, o_orderkey AS booking_id, CAST((o_orderkey + k.i) % 200 AS INT) AS park_product_id, 'Product ' || k.i AS park_product_name, 1 + k.i AS quantity, {_m('10 + k.i')} AS price, true AS is_taxable, k.i = 1 AS included, 'T2' AS tax_code, 'I' || (o_orderkey * 4 + k.i) AS external_id,
-       CASE WHEN k.i = 2 THEN {CREATED} END AS deleted, 'load' AS modified_by FROM orders JOIN x_number k ON k.i < 3 WHERE o_orderkey % 3 = 0 AND (o_orderkey + k.i) % 5 <> 0""",
+       CASE WHEN k.i = 2 THEN {CREATED} END AS deleted, 'load' AS modified_by, CAST(NULL AS DECIMAL(18,6)) AS percent_allocation, CAST(NULL AS BIGINT) AS related_booking_resource_id, CAST(NULL AS BIGINT) AS related_booking_participant_id FROM orders JOIN x_number k ON k.i < 3 WHERE o_orderkey % 3 = 0 AND (o_orderkey + k.i) % 5 <> 0""",
     "booking_booking_fee": f"SELECT o_orderkey * 2 AS id, o_orderkey AS booking_id, CAST(o_orderkey % 75 AS INT) AS product_fee_id, {_m('3.5')} AS price, true AS is_taxable, 'Booking fee' AS description, 'F1' AS tax_code FROM orders WHERE o_orderkey % 6 = 0",
     "booking_booking_guest_of_honor": "SELECT o_orderkey AS id, o_orderkey AS booking_id, 'Guest' || o_orderkey AS first_name, 'Last' AS last_name, CAST(o_orderdate AS DATE) - 3000 AS date_of_birth FROM orders WHERE o_orderkey % 12 = 0",
     "booking_booking_resource": f"SELECT o_orderkey AS booking_id, 'Room ' || (1 + o_orderkey % 4) AS resource_type_name, 'Table ' || o_orderkey % 30 AS resource_name, {_m('20')} AS price, {_m('100')} AS percent_allocation FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0",
