@@ -12,8 +12,9 @@ from turnstile.operators import merge as mg
 from turnstile.operators.windows import keep_first
 from turnstile.plans.audit import booking_audit
 from turnstile.plans.payment_batch import _typed
-from turnstile.plans.special_events import admit, valid_booking_fees, void_booked_lines
+from turnstile.plans.special_events import admit, valid_booking_fees, withdraw_items
 from turnstile.sources.catalog import Catalog, FrameCatalog
+from turnstile.sources.sinks import materialise
 
 CART = [
     "booking_id", "park_id", "schedule_detail_id", "product_level_id", "requires_handicap", "internal_notes", "external_notes", "promotion_id", "is_ai", "base_bundle_schedule_id",
@@ -31,33 +32,43 @@ def convert_carts(cat: Catalog, requests: DataFrame, as_of=None) -> dict[str, Da
     """
     now = X.clock(as_of)
     accepted, rejected = _choose_carts(cat, requests)
+    accepted = materialise(accepted)
     new, changed = accepted.filter(F.col("booking_id").isNull()), accepted.filter(F.col("booking_id").isNotNull())
     prices = _bundle_prices(cat)
-    opened = _open_bookings(cat, new, prices, now)
     booking = cat.table("booking.Booking")
-    numbered = mg.with_new_ids(opened, booking, ["request_id"])
-    carts = (
+    numbered = materialise(mg.with_new_ids(_open_bookings(cat, new, prices, now), booking, ["request_id"]))
+    carts = materialise(
         numbered.select("request_id", F.col("id").alias("new_booking_id")).join(new.drop("booking_id"), "request_id").withColumnRenamed("new_booking_id", "booking_id").withColumn("is_new", F.lit(True))
         .unionByName(changed.withColumn("is_new", F.lit(False)))
     )
     tables = {"booking.Booking": _bookings(cat, changed, now).unionByName(_typed(numbered, booking))}
     tables["booking.BookingGuestOfHonor"] = _guests(cat, carts)
     tables["booking.BookingFee"], fee_links = _fees(cat, carts, now)
-    tables["booking.BookingParticipant"], participant_links = _participants(cat, carts, prices)
+    tables["booking.BookingParticipant"], seats, participant_links = _participants(cat, carts, prices)
     tables["booking.BookingResource"] = _resources(cat, carts)
-    details, allocations, items = _withdraw(cat, carts, now)
-    tables["booking.BookingItem"], item_links = _items(cat, carts, items, tables["booking.BookingParticipant"], now)
+    withdrawn, allocations, items = withdraw_items(cat, carts.filter(~F.col("is_new")), now, "cart", with_children=True)
+    tables["booking.BookingItem"], item_links = _items(cat, carts, items, seats, now)
     contracts = _contracts(cat, carts, now)
     tables["invoice.PaymentInvoiceDetail"] = allocations
 
     headers = _assign_headers(cat, carts)
     tables["invoice.InvoiceHeader"] = headers
-    owned = headers.filter(F.col("booking_id").isNotNull()).select(F.col("id").alias("invoice_header_id"), "booking_id").join(
-        carts.select("booking_id", "modified_by", "account_entitlement_id").distinct(), "booking_id"
+    owned = materialise(
+        headers.filter(F.col("booking_id").isNotNull()).select(F.col("id").alias("invoice_header_id"), "booking_id").join(
+            carts.select("booking_id", "modified_by", "account_entitlement_id").distinct(), "booking_id"
+        )
     )
     links = fee_links.unionByName(participant_links, allowMissingColumns=True).unionByName(item_links, allowMissingColumns=True)
-    details = _link_details(details, owned, links, now)
-    tables["booking.BookingDiscount"], tables["invoice.InvoiceDetail"] = _discounts(cat, carts, tables["booking.Booking"], details, owned, now)
+    # Only lines that are withdrawn, or that belong to a converted booking's invoice, go through the steps.
+    details = cat.table("invoice.InvoiceDetail")
+    concerned = withdrawn.unionByName(details.join(owned.select("invoice_header_id"), "invoice_header_id", "left_semi").select("id"))
+    discounted = cat.table("booking.BookingDiscount", "id", "booking_id").join(carts.select("booking_id"), "booking_id", "left_semi").select(F.col("id").alias("booking_discount_id"))
+    concerned = materialise(concerned.unionByName(details.join(discounted, "booking_discount_id", "left_semi").select("id")).distinct())
+    mine = mg.void(details.join(concerned, "id", "left_semi"), withdrawn, "id", "invoice_detail_status_id", now, "cart", when=F.lit(True))
+    mine = materialise(_link_details(materialise(mine), owned, links, now))
+    promoted = carts.select("booking_id").join(tables["booking.Booking"].select(F.col("id").alias("booking_id"), "promotion_id"), "booking_id")
+    tables["booking.BookingDiscount"], mine = _discounts(cat, carts, promoted, mine, owned, now)
+    tables["invoice.InvoiceDetail"] = details.join(concerned, "id", "left_anti").select(*details.columns).unionByName(mine)
 
     after = FrameCatalog(cat.spark, tables, cat)
     places = cat.table("park.Park", "id", "brand_id").toDF("park_id", "brand_id").join(cat.table("dbo.Brands", "id", "party_store_url").withColumnRenamed("id", "brand_id"), "brand_id")
@@ -141,7 +152,7 @@ def _fees(cat: Catalog, carts: DataFrame, now: Column) -> tuple[DataFrame, DataF
     return target.unionByName(_typed(rows, target)), links
 
 
-def _participants(cat: Catalog, carts: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _participants(cat: Catalog, carts: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Base, extra and adult participants: inserted for new bookings, updated for known ones.
 
     An unchanged bundle keeps its agreed price; an adult price of 0 becomes half the extra price.
@@ -170,10 +181,14 @@ def _participants(cat: Catalog, carts: DataFrame, prices: DataFrame) -> tuple[Da
     )
     columns = ["bundle_schedule_id", "bundle_name", "count", "price", "is_taxable", "tax_code", "external_id"]
     keys = ["booking_id", "participant_type_id"]
-    updated = mg.upsert(target, rows.filter(~F.col("is_new")).select(*keys, *columns), keys, overwrite=columns, insert=False)
-    inserted = mg.with_new_ids(rows.filter(F.col("is_new")).select(*keys, *columns), target, keys)
-    links = inserted.select("booking_id", "external_id", F.col("id").cast("long").alias("booking_participant_id"))
-    return updated.unionByName(_typed(inserted, target)), links
+    rows = materialise(rows.select(*keys, "is_new", *columns))
+    known = carts.filter(~F.col("is_new")).select("booking_id").distinct()
+    updated = mg.upsert(target.join(known, "booking_id", "left_semi").select(*target.columns), rows.filter(~F.col("is_new")), keys, overwrite=columns, insert=False)
+    inserted = mg.with_new_ids(rows.filter(F.col("is_new")), target, keys)
+    seats = materialise(updated.unionByName(_typed(inserted, target)))
+    fresh = seats.join(known, "booking_id", "left_anti")
+    links = fresh.select("booking_id", "external_id", F.col("id").cast("long").alias("booking_participant_id"))
+    return target.join(known, "booking_id", "left_anti").select(*target.columns).unionByName(seats), seats, links
 
 
 def _resources(cat: Catalog, carts: DataFrame) -> DataFrame:
@@ -193,10 +208,6 @@ def _resources(cat: Catalog, carts: DataFrame) -> DataFrame:
     return updated.unionByName(_typed(rows.filter("is_new"), target))
 
 
-def _withdraw(cat: Catalog, carts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return void_booked_lines(cat, carts.filter(~F.col("is_new")), now, "cart", with_children=True)
-
-
 def _items(cat: Catalog, carts: DataFrame, kept: DataFrame, participants: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Cart items as booking items, with their share of the bundle or of the resource modifier."""
     wanted = cat.table("booking.CartItem", "id", "cart_id", "park_product_id", "ticket_id", "included", "quantity", "price", "related_schedule_detail_id", "related_bundle_schedule_id").withColumnRenamed(
@@ -236,9 +247,9 @@ def _items(cat: Catalog, carts: DataFrame, kept: DataFrame, participants: DataFr
             "related_booking_resource_id": F.when(F.col("related_schedule_detail_id").isNotNull(), F.col("booking_id")), **stamp,
         }
     )
-    numbered = mg.with_new_ids(ready, kept, ["booking_id", "cart_item_id", "external_id"])
+    numbered = materialise(_typed(mg.with_new_ids(ready, kept, ["booking_id", "cart_item_id", "external_id"]), kept))
     links = numbered.select("booking_id", "external_id", F.col("id").cast("long").alias("booking_item_id"))
-    return kept.unionByName(_typed(numbered, kept)), links
+    return kept.unionByName(numbered), links
 
 
 def _contracts(cat: Catalog, carts: DataFrame, now: Column) -> DataFrame:
@@ -281,12 +292,12 @@ def _link_details(details: DataFrame, owned: DataFrame, links: DataFrame, now: C
     return rows.select(*[new[c].cast(details.schema[c].dataType).alias(c) if c in new else F.col(c) for c in details.columns])
 
 
-def _discounts(cat: Catalog, carts: DataFrame, bookings: DataFrame, details: DataFrame, owned: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def _discounts(cat: Catalog, carts: DataFrame, promoted: DataFrame, details: DataFrame, owned: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Promotion and entitlement discounts, and the invoice lines they belong to."""
     target = cat.table("booking.BookingDiscount")
     mine = carts.select("booking_id", "modified_by", "is_new", "account_entitlement_id")
     promotions = cat.table("booking.Promotion", "id", "discount", "is_percentage", "code").withColumnRenamed("id", "promotion_id")
-    given = bookings.select(F.col("id").alias("booking_id"), "promotion_id").join(mine, "booking_id").join(promotions, "promotion_id").filter(F.abs("discount") > 0).select(
+    given = promoted.join(mine, "booking_id").join(promotions, "promotion_id").filter(F.abs("discount") > 0).select(
         "booking_id", F.abs("discount").alias("amount"), "is_percentage", F.concat(F.lit("Promotion - "), "code").alias("description"), "promotion_id", F.lit(None).cast("int").alias("account_entitlement_id"),
         "modified_by", F.lit(None).cast("string").alias("detail_key"),
     )
@@ -298,7 +309,7 @@ def _discounts(cat: Catalog, carts: DataFrame, bookings: DataFrame, details: Dat
         "booking_id", X.money(F.abs((F.col("unit_principle") + F.col("unit_tax")) * F.col("quantity"))).alias("amount"), F.lit(False).alias("is_percentage"), "description",
         F.lit(None).cast("int").alias("promotion_id"), "account_entitlement_id", F.col("__user").alias("modified_by"), F.col("id").cast("string").alias("detail_key"),
     )
-    new = mg.with_new_ids(given.unionByName(entitled), target, ["booking_id", "description", "detail_key"])
+    new = materialise(mg.with_new_ids(given.unionByName(entitled), target, ["booking_id", "description", "detail_key"]))
     # Old entitlements always go; old promotions go when a known booking is changed.
     changed = mine.select("booking_id", F.col("is_new").alias("__new")).distinct()
     old = target.join(changed, "booking_id", "left").withColumn(

@@ -12,6 +12,7 @@ from turnstile.operators import merge as mg
 from turnstile.operators.windows import keep_first
 from turnstile.plans.payment_batch import _typed, shred
 from turnstile.sources.catalog import Catalog
+from turnstile.sources.sinks import materialise
 
 # Fields of the two payloads.
 HEADER_JSON = """ConfirmationCode string, LocationId bigint, AccountId bigint, BookingId bigint, RecurringBillingPeriodId int, RefundedInvoiceId bigint, InvoiceStatusId int, CurrencyId int"""
@@ -44,33 +45,45 @@ def apply_invoice_batch(cat: Catalog, batch: DataFrame, user: str, as_of=None) -
     updated = mg.upsert(headers, changes, ["id"], overwrite=["refunded_invoice_id", "invoice_status_id"], stamp=stamp, sequence="sequence", insert=False)
     new_headers = updated.unionByName(_typed(fresh.withColumns({**stamp, "created_by": F.lit(user), "created_date": now}), headers))
 
+    made = materialise(made)
     given = shred(batch.drop("invoice_header_id"), "details", DETAIL_JSON, "request_id").join(made, "request_id").withColumnRenamed("id", "input_id")
-    given = given.withColumn("change_id", F.concat_ws("-", F.lpad(F.col("request_id").cast("string"), 20, "0"), F.lpad(F.col("position").cast("string"), 10, "0")))
+    given = materialise(
+        given.withColumn("change_id", F.concat_ws("-", F.lpad(F.col("request_id").cast("string"), 20, "0"), F.lpad(F.col("position").cast("string"), 10, "0")))
+    )
     touched = made.join(batch.filter(F.col("details").isNotNull()).select("request_id"), "request_id", "left_semi").select("invoice_header_id").distinct()
-    details, allocations = void_unpaid(cat, touched, now, user)
-    merged = merge_details(details, given, stamp, now, user)
+    # Only the lines of touched invoices go through the steps; all others are passed on as they are.
+    details, allocations = cat.table("invoice.InvoiceDetail"), cat.table("invoice.PaymentInvoiceDetail")
+    mine = materialise(details.join(touched, "invoice_header_id", "left_semi"))
+    line_ids = mine.select(F.col("id").alias("invoice_detail_id"))
+    mine_paid = materialise(allocations.join(line_ids, "invoice_detail_id", "left_semi"))
+    voided, voided_paid = void_unpaid(mine, mine_paid, now, user)
+    merged = materialise(merge_details(materialise(voided), given, details, stamp, now, user))
     return {
-        "invoice.InvoiceHeader": new_headers, "invoice.InvoiceDetail": link_lines(cat, merged, given, touched), "invoice.PaymentInvoiceDetail": allocations, "requests": made,
+        "invoice.InvoiceHeader": new_headers,
+        "invoice.InvoiceDetail": details.join(touched, "invoice_header_id", "left_anti").select(*details.columns).unionByName(link_lines(cat, merged, given)),
+        "invoice.PaymentInvoiceDetail": allocations.join(line_ids, "invoice_detail_id", "left_anti").select(*allocations.columns).unionByName(voided_paid),
+        "requests": made,
     }
 
 
-def void_unpaid(cat: Catalog, touched: DataFrame, now, user: str) -> tuple[DataFrame, DataFrame]:
+def void_unpaid(mine: DataFrame, paid: DataFrame, now, user: str) -> tuple[DataFrame, DataFrame]:
     """Void active lines without an active allocation, then the allocations of every voided line."""
-    details, allocations = cat.table("invoice.InvoiceDetail"), cat.table("invoice.PaymentInvoiceDetail")
     live = F.col("payment_invoice_detail_status_id") == codes.STATUS_ACTIVE
     active = F.col("invoice_detail_status_id") == codes.STATUS_ACTIVE
-    mine = details.join(touched, "invoice_header_id", "left_semi").select("id", "invoice_detail_status_id")
-    paid = allocations.filter(live).select(F.col("invoice_detail_id").alias("id")).distinct()
-    unpaid = mine.filter(active).join(paid, "id", "left_anti").select("id")
+    kept = paid.filter(live).select(F.col("invoice_detail_id").alias("id")).distinct()
+    unpaid = mine.filter(active).join(kept, "id", "left_anti").select("id")
     voided = mine.filter(~active).select("id").unionByName(unpaid).withColumnRenamed("id", "invoice_detail_id")
     return (
-        mg.void(details, unpaid, "id", "invoice_detail_status_id", now, user),
-        mg.void(allocations, voided, "invoice_detail_id", "payment_invoice_detail_status_id", now, user, when=live),
+        mg.void(mine, unpaid, "id", "invoice_detail_status_id", now, user),
+        mg.void(paid, voided, "invoice_detail_id", "payment_invoice_detail_status_id", now, user, when=live),
     )
 
 
-def merge_details(details: DataFrame, given: DataFrame, stamp: dict, now, user: str) -> DataFrame:
-    """Update active lines that share one of five ids with a given line; insert lines that match none."""
+def merge_details(details: DataFrame, given: DataFrame, table: DataFrame, stamp: dict, now, user: str) -> DataFrame:
+    """Update active lines that share one of five ids with a given line; insert lines that match none.
+
+    `table` is the whole table, whose ids the new lines continue.
+    """
     active = details.filter(F.col("invoice_detail_status_id") == codes.STATUS_ACTIVE)
     match = lambda keys: jn.any_key_join(active, given, keys, "id", "change_id", on="invoice_header_id")
     changes = match(UPDATE_KEYS).join(given.drop("invoice_header_id"), "change_id")
@@ -79,15 +92,15 @@ def merge_details(details: DataFrame, given: DataFrame, stamp: dict, now, user:
     updated = mg.upsert(details, changes, ["id"], keep_when_null=kept, stamp=stamps, sequence="change_id", insert=False)
     new = given.join(match(INSERT_KEYS).select("change_id").distinct(), "change_id", "left_anti").select("invoice_header_id", "change_id", *kept)
     new = new.withColumns({**stamp, "created_by": F.lit(user), "created_date": now, "invoice_detail_status_id": F.lit(codes.STATUS_ACTIVE)})
-    return updated.unionByName(_typed(mg.with_new_ids(new, details, ["change_id"]), details))
+    return updated.unionByName(_typed(mg.with_new_ids(new, table, ["change_id"]), details))
 
 
-def link_lines(cat: Catalog, details: DataFrame, given: DataFrame, touched: DataFrame) -> DataFrame:
+def link_lines(cat: Catalog, details: DataFrame, given: DataFrame) -> DataFrame:
     """Parents of lines: promotions by name, discounts and entitlements by the base participant, others as given.
 
     Of several possible parents the lowest id is taken. A given parent beats the other rules.
     """
-    mine = details.join(touched, "invoice_header_id", "left_semi").select("id", "invoice_header_id", "external_id", "invoice_detail_status_id")
+    mine = details.select("id", "invoice_header_id", "external_id", "invoice_detail_status_id")
     by_name = mine.filter(F.col("external_id").isNotNull()).groupBy("invoice_header_id", "external_id").agg(F.min("id").alias("parent"))
     promo = mine.filter(F.col("external_id").endswith("-Promo")).select(
         "id", "invoice_header_id", F.replace("external_id", F.lit("-Promo"), F.lit("")).alias("external_id")

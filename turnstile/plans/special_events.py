@@ -11,6 +11,7 @@ from turnstile.operators import filters as flt
 from turnstile.operators import merge as mg
 from turnstile.plans.payment_batch import _typed, shred
 from turnstile.sources.catalog import Catalog
+from turnstile.sources.sinks import materialise
 
 # Fields of the three payloads.
 BOOKING_JSON = """Id bigint, ParkId bigint, AccountId bigint, ScheduleDetailId bigint, ProductLevelId int, InternalNotes string, ExternalNotes string, InvoiceId bigint, DepositPrice decimal(18,6),
@@ -49,20 +50,26 @@ def valid_booking_fees(cat: Catalog, now: Column) -> DataFrame:
     )
 
 
-def void_booked_lines(cat: Catalog, bookings: DataFrame, now: Column, user: str, with_children: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(details, allocations, items) after a booking's items are withdrawn: its lines and all allocations are voided."""
-    details, allocations, items = cat.table("invoice.InvoiceDetail"), cat.table("invoice.PaymentInvoiceDetail"), cat.table("booking.BookingItem")
+def booked_lines(cat: Catalog, bookings: DataFrame, with_children: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(invoice lines of the bookings' items, all lines of the bookings' invoices, the bookings), as ids."""
+    details = cat.table("invoice.InvoiceDetail", "id", "booking_item_id", "related_invoice_detail_id", "invoice_header_id")
     keys = bookings.select("booking_id").distinct()
-    item_ids = items.join(keys, "booking_id", "left_semi").select(F.col("id").alias("booking_item_id"))
+    item_ids = cat.table("booking.BookingItem", "id", "booking_id").join(keys, "booking_id", "left_semi").select(F.col("id").alias("booking_item_id"))
     lines = details.join(item_ids, "booking_item_id", "left_semi").select("id")
     if with_children:
         related = details.join(lines.withColumnRenamed("id", "related_invoice_detail_id"), "related_invoice_detail_id", "left_semi").select("id")
         lines = lines.unionByName(related)
     owned = cat.table("invoice.InvoiceHeader", "id", "booking_id").join(keys, "booking_id", "left_semi").select(F.col("id").alias("invoice_header_id"))
-    paid = details.join(owned, "invoice_header_id", "left_semi").select(F.col("id").alias("invoice_detail_id"))
+    invoiced = details.join(owned, "invoice_header_id", "left_semi").select(F.col("id").alias("invoice_detail_id"))
+    return lines.distinct(), invoiced, keys
+
+
+def withdraw_items(cat: Catalog, bookings: DataFrame, now: Column, user: str, with_children: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines to void, allocations, items) when a booking's items are withdrawn: all its allocations are voided."""
+    lines, invoiced, keys = booked_lines(cat, bookings, with_children)
+    allocations, items = cat.table("invoice.PaymentInvoiceDetail"), cat.table("booking.BookingItem")
     return (
-        mg.void(details, lines, "id", "invoice_detail_status_id", now, user, when=F.lit(True)),
-        mg.void(allocations, paid, "invoice_detail_id", "payment_invoice_detail_status_id", now, user, when=F.lit(True)),
+        lines, mg.void(allocations, invoiced, "invoice_detail_id", "payment_invoice_detail_status_id", now, user, when=F.lit(True)),
         mg.soft_delete(items, keys, "booking_id", now, user, when=F.lit(True)),
     )
 
@@ -77,6 +84,7 @@ def apply_special_event_batch(cat: Catalog, batch: DataFrame, user: str, as_of=N
     stamp = {"modified_by": F.lit(user), "modified_date": now}
     born = {"created_by": F.lit(user), "created_date": now, **stamp}
     accepted, rejected = admit(cat, batch.withColumn("booking_id", F.nullif(F.col("booking_id"), F.lit(0))))
+    accepted = materialise(accepted)
     booking, special = cat.table("booking.Booking"), cat.table("booking.BookingSpecialEvent")
     items, fees = cat.table("booking.BookingItem"), cat.table("booking.BookingFee")
     parsed = shred(accepted, "booking", BOOKING_JSON, "request_id", "booking_id").drop("position").withColumnRenamed("id", "stated_id")
@@ -102,7 +110,8 @@ def apply_special_event_batch(cat: Catalog, batch: DataFrame, user: str, as_of=N
     new_special = mg.upsert(special, changed_events, ["booking_id"], overwrite=EVENT_COLUMNS, sequence="sequence", insert=False).unionByName(_typed(inserted_events, special))
     # items: included ones are free, exempt events are not taxed
     existing = made.join(is_fresh, "request_id", "left_anti").select("booking_id")
-    details, allocations, kept_items = void_booked_lines(cat, existing, now, user, with_children=False)
+    lines, allocations, kept_items = withdraw_items(cat, existing, now, user, with_children=False)
+    details = mg.void(cat.table("invoice.InvoiceDetail"), lines, "id", "invoice_detail_status_id", now, user, when=F.lit(True))
     products = cat.table("prdct.ParkProduct", "id", "tax_code").toDF("park_product_id", "product_tax_code").join(
         cat.table("prdct.ProductChannelProduct", "park_product_id", "external_id"), "park_product_id", "left"
     )

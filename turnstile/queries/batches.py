@@ -123,7 +123,7 @@ def event_requests(t):
     )
 
 
-ADMIT = """r AS (SELECT o_orderkey AS k, o_orderkey % 9 = 0 AS known, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 1000 END AS rv, o_orderkey % 5 = 0 AS exempt, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 300 END AS base, o_orderkey % 25 AS park FROM orders WHERE o_orderkey % 9 IN (0, 1)),
+ADMIT = """r AS (SELECT o_orderkey AS k, o_orderkey % 9 = 0 AND o_orderkey > 0 AS known, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 1000 END AS rv, o_orderkey % 5 = 0 AS exempt, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 300 END AS base, o_orderkey % 25 AS park FROM orders WHERE o_orderkey % 9 IN (0, 1)),
 ok AS (SELECT r.* FROM r LEFT JOIN booking_booking b ON b.id = r.k AND r.known WHERE NOT r.known OR (b.id IS NOT NULL AND b.paid IS NULL AND b.canceled IS NULL AND b.deleted IS NULL AND b.row_ver = r.rv))"""
 
 
