@@ -16,6 +16,10 @@ def _on(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _slot(date: Column, days: int) -> Column:
+    return F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / F.lit(days))
+
+
 def band_join(left: DataFrame, right: DataFrame, value: str, band_start: str, width, on=()) -> DataFrame:
     """Left rows whose value lies in [band_start, band_start + width) of a right row.
 
@@ -39,22 +43,29 @@ def interval_join(left: DataFrame, right: DataFrame, date: str, start: str, end:
     Both ends of the interval must be known. Only intervals that share the slot of the date are met.
     """
     slot = "__slot"
-    epoch = F.lit("1970-01-01").cast("date")
-    bucket = lambda c: F.floor(F.datediff(c, epoch) / F.lit(days))
-    lefts = left.withColumn(slot, bucket(F.col(date)))
+    lefts = left.withColumn(slot, _slot(F.col(date), days))
     rights = (
         right.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-        .withColumn(slot, F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+        .withColumn(slot, F.explode(F.sequence(_slot(F.col(start), days), _slot(F.col(end), days))))
     )
     return lefts.join(rights, [*_on(on), slot]).filter(F.col(date).between(F.col(start), F.col(end))).drop(slot)
 
 
-def not_in_interval(left: DataFrame, blackout: DataFrame, date: str, start: str, end: str, on) -> DataFrame:
-    """Left rows with no closed interval of the same key around their date."""
+def not_in_interval(left: DataFrame, blackout: DataFrame, date: str, start: str, end: str, on, days: int = 32) -> DataFrame:
+    """Left rows with no closed interval of the same key around their date.
+
+    Both sides carry the calendar slot of the date, so that a key with many rows and many intervals is
+    still compared slot by slot.
+    """
     keys = _on(on)
-    b = blackout.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col(start).alias("__s"), F.col(end).alias("__e"))
-    same = reduce(lambda x, y: x & y, [left[k] == b[f"__b_{k}"] for k in keys])
-    return left.join(b, same & left[date].between(b["__s"], b["__e"]), "left_anti")
+    off = blackout.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
+    b = off.select(
+        *[F.col(k).alias(f"__b_{k}") for k in keys], F.col(start).alias("__s"), F.col(end).alias("__e"),
+        F.explode(F.sequence(_slot(F.col(start), days), _slot(F.col(end), days))).alias("__b_slot"),
+    )
+    lefts = left.withColumn("__slot", _slot(F.col(date), days))
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"__b_{k}") for k in keys])
+    return lefts.join(b, same & (F.col("__slot") == F.col("__b_slot")) & F.col(date).between(F.col("__s"), F.col("__e")), "left_anti").drop("__slot")
 
 
 def any_key_join(target: DataFrame, source: DataFrame, keys: list[str], target_id: str, source_id: str, on=()) -> DataFrame:

@@ -12,6 +12,7 @@ AS_OF = "2024-01-15 12:00:00"
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULE: dict[str, str] = {}
 
 
 class Tables:
@@ -37,6 +38,7 @@ def query(name: str, sql: str | None = None):
         if name in SPARK:
             raise ValueError(f"query {name} registered twice")
         SPARK[name] = run
+        MODULE[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn

@@ -60,8 +60,15 @@ def hold_outcomes(holds: DataFrame, endings: DataFrame) -> DataFrame:
     """
     h = holds.withWatermark("began", "1 minute") if holds.isStreaming else holds
     e = endings.withWatermark("ended", "1 minute") if endings.isStreaming else endings
-    e = e.select(F.col("owner").alias("ending_owner"), "ended", "outcome")
-    in_time = (F.col("owner") == F.col("ending_owner")) & (F.col("ended") >= F.col("began")) & (F.col("ended") <= F.col("began") + F.expr(HOLD))
+    # An ending is filed under its own time slot and the one before: a hold meets only endings near it,
+    # however many rows its owner has.
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / F.lit(60 * codes.HOLD_MINUTES))
+    h = h.withColumn("slot", slot("began"))
+    e = e.select(F.col("owner").alias("ending_owner"), "ended", "outcome", F.explode(F.array(slot("ended"), slot("ended") - 1)).alias("ending_slot"))
+    in_time = (
+        (F.col("owner") == F.col("ending_owner")) & (F.col("slot") == F.col("ending_slot")) & (F.col("ended") >= F.col("began"))
+        & (F.col("ended") <= F.col("began") + F.expr(HOLD))
+    )
     return h.join(e, in_time, "leftOuter").select("hold_id", "owner", "began", "ended", F.coalesce("outcome", F.lit("expired")).alias("outcome"))
 
 
