@@ -107,12 +107,23 @@ def open_slots(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     detail = cat.table("booking.ScheduleDetails", "id", "schedule_id", "resource_id", "start_hour", "end_hour", "minimum_product_level_id", "party_theme_id", "deleted").filter(
         F.col("deleted").isNull()
     ).withColumnRenamed("id", "schedule_detail_id").drop("deleted")
-    scheduled = _suitable(cat, requests.join(schedule, day).join(detail, "schedule_id"))
-    scheduled = occ.free_details(cat, now, scheduled).join(_own_cart_weight(cat), ["cookie_id", "resource_type_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    details = occ.Details(cat, now, schedule.join(detail, "schedule_id").join(occ.resources(cat), "resource_id"))
+    kind = ["resource_type_id", "is_handicap_accessible", "minimum_product_level_id", "party_theme_id", "start_hour", "end_hour"]
+    # Details free for everybody become one row per day, time and kind before requests multiply them.
+    cheapest = details.uncontested.groupBy(*day, *kind).agg(F.min("price").alias("price"), F.count("*").alias("places"))
+    asked_columns = [*requests.columns, *kind, "price", "places"]
+    offered = requests.join(cheapest, day).select(*asked_columns).unionByName(
+        details.free_for(requests.join(details.contested, day)).withColumn("places", F.lit(1).cast("long")).select(*asked_columns)
+    )
+    scheduled = _suitable(cat, offered).join(_own_cart_weight(cat), ["cookie_id", "resource_type_id"], "left").withColumn(
+        "weight", F.col("places") * F.coalesce("weight", F.lit(1))
+    )
     pattern = cat.table("booking.TemplateDetails", "template_id", "resource_id", "day_of_week", "start_hour", "end_hour", "minimum_product_level_id", "party_theme_id", "deleted").filter(
         F.col("deleted").isNull()
     ).withColumnRenamed("day_of_week", "dow").drop("deleted")
-    from_template = _suitable(cat, templated.join(pattern, ["template_id", "dow"])).withColumn("weight", F.lit(1))
+    # So do the details of a template.
+    patterns = pattern.join(occ.resources(cat), "resource_id").groupBy("template_id", "dow", *kind).agg(F.min("price").alias("price"), F.count("*").alias("weight"))
+    from_template = _suitable(cat, templated.join(patterns, ["template_id", "dow"]))
     columns = ["request_id", "start_hour", "end_hour", "party_theme_id", "price", "weight"]
     themes = cat.table("booking.PartyTheme", "id", "description", "color_code", "image_url").toDF("party_theme_id", "party_theme", "theme_color", "theme_image")
     known = themes.select("*", F.col("party_theme_id").alias("known_theme_id"))
@@ -127,7 +138,7 @@ def _suitable(cat: Catalog, rows: DataFrame) -> DataFrame:
     """Rows whose resource is in use and suits the request, at or above the wanted level."""
     levels = cat.table("prdct.ProductLevel", "id", "ordinal").toDF("minimum_product_level_id", "slot_ordinal")
     high = F.coalesce("slot_ordinal", "wanted_ordinal") >= F.col("wanted_ordinal")
-    return occ.usable(rows.join(occ.resources(cat), "resource_id"), cat).join(levels, "minimum_product_level_id", "left").filter(high)
+    return occ.usable(rows, cat).join(levels, "minimum_product_level_id", "left").filter(high)
 
 
 def _own_cart_weight(cat: Catalog) -> DataFrame:
