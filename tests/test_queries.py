@@ -9,10 +9,10 @@ import pytest
 from check import compare, rows_of
 
 import __spark_entry__ as entry
-from turnstile.queries import availability
+from turnstile.queries import availability, registry
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLE = registry.oracle_sql()
+QUERIES = registry.queries()
 HEAVY = {"reports", "availability", "people", "records", "batches"}
 SAMPLE = {"rev_aggregate", "pay_transactions", "park_calendar", "contacts_child", "enrolled_accounts", "notif_scope", "tickets_today", "valid_tokens", "booking_audit", "apply_payments"}
 
