@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from turnstile.llm import quality as q
+from turnstile.llm import secrets
 
 #: Words, symbols, lines and repeated windows of the base rules; then the estimate, with the text that Spark runs too.
 _BASE = r"""
@@ -53,3 +54,78 @@ FROM stats LEFT JOIN far USING (rid)"""
 
 
 QUALITY = _quality()
+
+
+#: Rules and their propagation along canonical links and refreshes, by a recursive walk over the links.
+URLS = r"""
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS rid, page_id, html,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest
+  FROM pages),
+rules(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+own AS (
+  SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid),
+node AS (SELECT u.rid, host || rest AS n, v FROM u LEFT JOIN own USING (rid) WHERE host != ''),
+target AS (
+  SELECT rid, replace(unnest([
+    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[0-9.]*\s*;?\s*url\s*=\s*["'']?([^"''\s>]+)', 1)]), '&amp;', '&') AS t
+  FROM u),
+edge AS (
+  SELECT DISTINCT n AS a, lower(regexp_extract(t, '://([^/?#]*)', 1)) || regexp_extract(t, '://[^/?#]*([^#]*)', 1) AS b
+  FROM target JOIN node USING (rid) WHERE regexp_matches(t, '(?i)^https?://')),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+spread AS (SELECT a AS n, min(v) AS s FROM reach JOIN node ON node.n = b WHERE v IS NOT NULL GROUP BY a)
+SELECT page_id, host, path, rule, coalesce(own.v, s, 'allow') AS verdict
+FROM u LEFT JOIN own USING (rid) LEFT JOIN node USING (rid) LEFT JOIN spread USING (n)
+"""
+
+#: Base32 of the SHA-1 by way of its bits.
+ARCHIVES = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS top FROM p GROUP BY d),
+digit AS (
+  SELECT d, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(substr(bits, 5 * k + 1, 5)::BIT::INT AS INT), 1), '' ORDER BY k) AS b32
+  FROM (SELECT d, unnest(range(0, 32)) AS k, list_aggregate(list_transform(range(1, 21), lambda i: right(CAST(CAST(('0x' || substr(d, 2 * i - 1, 2))::INT AS BIT) AS VARCHAR), 8)), 'string_agg', '') AS bits FROM g)
+  GROUP BY d)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p JOIN g USING (d) JOIN digit USING (d)
+"""
+
+
+def _secrets() -> str:
+    """Places as running sums over the lengths between and of the matches, like the query, but by unnesting."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS number, unnest(string_split_regex(t, {quoted(r.pattern)})) AS gap, unnest(regexp_extract_all(t, {quoted(r.pattern)}, 0)) AS m, "
+        f"unnest(regexp_extract_all(t, {quoted(r.pattern)}, {r.group})) AS part, generate_subscripts(string_split_regex(t, {quoted(r.pattern)}), 1) AS i, {r.least} AS least "
+        f"FROM d WHERE regexp_matches(t, {quoted(r.pattern)})"
+        for k, r in enumerate(secrets.RULES)
+    )
+    names = ", ".join(quoted(r.kind) for r in secrets.RULES)
+    base = len(secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (number = {k}) AS n_{secrets.RULES[k].kind}" for k in range(base))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (
+  SELECT rid, number, m, part, least, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rid, number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM found WINDOW w AS (PARTITION BY rid, number ORDER BY i)),
+span AS (
+  SELECT rid, number, CAST(s AS BIGINT) AS s, [{names}][number + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS txt
+  FROM placed WHERE m IS NOT NULL AND length(part) >= least)
+SELECT doc_id, {', '.join(f'coalesce(n_{secrets.RULES[k].kind}, 0) AS n_{secrets.RULES[k].kind}' for k in range(base))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM d LEFT JOIN (
+  SELECT rid, {counts}, string_agg(txt, ',' ORDER BY s, number) FILTER (number < {base}) AS b, string_agg(txt, ',' ORDER BY s, number) AS a
+  FROM span GROUP BY rid) g USING (rid)"""
+
+
+SECRETS = _secrets()

@@ -6,11 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import decontaminate, line_dedup, ngram_join, oracles, piece_transducer, quality, registry
+from turnstile.llm import decontaminate, line_dedup, ngram_join, oracles, piece_transducer, quality, registry, secrets, token_files, url_filter, warc, wrapper
 from turnstile.llm.common import read
 from turnstile.llm.registry import query
 
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+PIECES, BYTE_PIECES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: (verdict, host, path)
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op1_redirect_equivalence", oracles.URLS)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judged(read(spark, sf_dir, "pages"), RULES, ["page_id"])
+    return out.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_zstd_archives", oracles.ARCHIVES)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).drop("url")
 
 
 @query("op2_piece_transducer")
@@ -26,12 +41,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "base.n_words", "base.word_chars", "base.n_symbols", "base.n_dup_lines", "base.n_repeat_words", "base.base_failed", "kept")
 
 
+@query("op5_trigram_index", oracles.SECRETS)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(read(spark, sf_dir, "documents"))
+
+
+@query("op6_wrapper_induction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrapper.extracted(read(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op7_seeded_alignment")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of every benchmark item found in a document."""
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op8_ranked_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read(spark, sf_dir, "documents"), BYTE_PIECES)
+
+
 @query("op9_minhash_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links, copies of every document."""
