@@ -140,7 +140,10 @@ def frames(source) -> Iterator[bytes]:
 
 def train(named: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages (page, url, html): those of the least hashes, and of each its first bytes."""
-    sample = named.where("html != ''").select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("b"), F.xxhash64("page", "url").alias("h"))
+    hashed = named.where("html != ''").withColumn("h", F.xxhash64("page", "url"))
+    # The hashes alone are put in order; the pages then come by a filter, as many as the sample has.
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h").alias("h")).first()["h"]
+    sample = hashed.where(F.col("h") <= F.lit(last)).select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("b"), "h")
     taken = [bytes(r["b"]) for r in sample.orderBy("h", "b").limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, taken).as_bytes()
