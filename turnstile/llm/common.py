@@ -72,3 +72,13 @@ def maybe_in(df: DataFrame, key: Column, members: DataFrame, member: Column, the
     bitmap = members.select(member.alias("h")).groupBy(word(F.col("h")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("_bits"))
     hit = (word(key) == F.col("_word")) & (F.call_function("shiftright", F.col("_bits"), bit(key)).bitwiseAND(1) == 1)
     return df.join(F.broadcast(bitmap), hit, "left_semi" if there else "left_anti")
+
+
+#: Most tasks that a list of files is dealt to.
+FILE_TASKS = 10_000
+
+
+def a_task_each(files: DataFrame, path: str = "path") -> DataFrame:
+    """A list of files dealt out by path, to as many tasks as there are files. The number is given outright: a list is
+    short, and would otherwise be put together into one task however much its files hold."""
+    return files.repartition(max(1, min(FILE_TASKS, files.count())), F.col(path))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import new_folder, staged
+from turnstile.llm.common import a_task_each, new_folder, staged
 from turnstile.llm.warc import file_system
 
 MAGIC, HEAD = b"TKF1", "<4sQQQQ"
@@ -226,7 +226,7 @@ def read_files(files: DataFrame) -> DataFrame:
     # A row a file: the running sum is over the list of files, not over documents.
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = staged(files.select("path", before.alias("first")), "token-file-starts")
-    return listed.repartition(F.col("path")).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return a_task_each(listed).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str, **names) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import new_folder, staged
+from turnstile.llm.common import a_task_each, new_folder, staged
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, and of a dictionary and of a frame.
 DICTIONARY_FRAME, DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
@@ -230,8 +230,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of all archives listed (path, records), an archive a task."""
-    spread = archives.select("path", "records").repartition(F.col("path"))
-    return spread.mapInArrow(_reader, READ)
+    return a_task_each(archives.select("path", "records")).mapInArrow(_reader, READ)
 
 
 def round_trip(pages: DataFrame, least: int = 0, **names: str) -> DataFrame:
