@@ -5,8 +5,8 @@ ascending doc_id order. A file is self-contained and bounded (`FILE_TOKENS`): it
 writes the table from rank to id, then a control byte for every four ranks (two bits each: the rank's bytes less one),
 then the ranks' bytes without leading zeros. Decoding looks the control bytes up in a table of byte masks.
 
-Texts are cut before the blanks at which the tokenizer's own pattern cuts too, so that equal pieces are encoded once;
-the ids are those of encoding the whole text.
+Texts are cut at line ends and before the blanks at which the tokenizer's own pattern cuts too, so that equal pieces are
+encoded once; the ids are those of encoding the whole text.
 
 Edge cases: a null or empty text has only the end id; a null doc_id sorts first; rows that share a doc_id stand side by
 side in the order of their texts; special-token strings in a text are ordinary text; other columns are not read.
@@ -107,32 +107,58 @@ def parse(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return docs, counts, table[unpack(part(4, np.uint8), part(5, np.uint8), n_ids)]
 
 
-class _Pieces(dict):
-    """Ids of the pieces met so far, as bytes of 16- or 32-bit integers; full, it takes no more."""
+#: Two white-space characters in a row: such a text is cut by the pattern, any other at line ends and blanks.
+RUN = re.compile(f"[{_S}][{_S}]")
+
+
+class _Pieces:
+    """Ids of the pieces met so far, as bytes of 32-bit integers: as they are, and by what follows a leading blank.
+    Full, it keeps no more."""
 
     MOST = 700_000
 
-    def learn(self, tokenizer, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces: many to one call, parted by line ends, which no other token holds a part of."""
+    def __init__(self) -> None:
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def learn(self, tokenizer, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: many to one call, parted by line ends, of which no other token holds a part."""
         end = tokenizer.encode("\n", add_special_tokens=False).ids
-        plain = [p for p in pieces if "\n" not in p and not p.isspace()]
         found: dict[str, bytes] = {}
-        if len(end) == 1:
-            for i in range(0, len(plain), 4000):
-                some = plain[i : i + 4000]
-                ids = np.array(tokenizer.encode_batch_fast(["\n" + "\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == end[0])
-                if len(cuts) != len(some):
-                    plain = []
-                    break
+        usual = [p for p in pieces if p and "\n" not in p and not p.isspace()]
+        for i in range(0, len(usual) if len(end) == 1 else 0, 500):
+            some = usual[i : i + 500]
+            ids = np.array(tokenizer.encode_batch_fast(["\n" + "\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == end[0])
+            if len(cuts) == len(some):
                 raw, starts, ends = ids.tobytes(), ((cuts + 1) * 4).tolist(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-                found.update(zip(some, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+                found.update(zip(some, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
         rest = [p for p in pieces if p not in found]
         for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             found[p] = np.array(e.ids, "<u4").tobytes()
-        if len(self) + len(found) <= self.MOST:
-            self.update(found)
-        return found
+        return [found[p] for p in pieces]
+
+    def encode(self, tokenizer, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as bytes of 32-bit integers."""
+        # A list a text: a piece as it is, then pieces that follow a blank each, and so on in turns of lines.
+        cut = [[line.split(" ") for line in t.split("\n")] if not RUN.search(t) else None for t in texts]
+        whole = [PIECE.findall(t) if c is None else None for c, t in zip(cut, texts, strict=True)]
+        plain = {"\n"}.union(*[w for w in whole if w is not None], [line[0] for c in cut if c for line in c])
+        spaced = set().union(*[line[1:] for c in cut if c for line in c])
+        new_plain, new_spaced = sorted(plain.difference(self.plain)), sorted(spaced.difference(self.spaced))
+        self.plain.update(zip(new_plain, self.learn(tokenizer, new_plain), strict=True))
+        self.spaced.update(zip(new_spaced, self.learn(tokenizer, [" " + p for p in new_spaced]), strict=True))
+        first, after, end = self.plain, self.spaced.__getitem__, self.plain["\n"]
+        out = [
+            b"".join(map(first.__getitem__, w)) if c is None else end.join([first[line[0]] + b"".join(map(after, line[1:])) for line in c])
+            for c, w in zip(cut, whole, strict=True)
+        ]
+        if len(self.plain) + len(self.spaced) > self.MOST:
+            for p in new_plain:
+                del self.plain[p]
+            for p in new_spaced:
+                del self.spaced[p]
+        return out
 
 
 def _kept_pieces(key: str) -> _Pieces:
@@ -144,16 +170,6 @@ def _kept_pieces(key: str) -> _Pieces:
     return pieces
 
 
-def encode_texts(tokenizer, known: _Pieces, texts: list[str]) -> list[bytes]:
-    """Ids of whole texts as bytes of 32-bit integers."""
-    cut = [PIECE.findall(t) for t in texts]
-    new = {p for c in cut for p in c if p not in known}
-    own = known.learn(tokenizer, sorted(new)) if new else {}
-    if not own:
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-    return [b"".join([known[p] if p in known else own[p] for p in c]) for c in cut]
-
-
 def _writer(folder: str, tokenizer_json: str, key: str, file_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -182,7 +198,7 @@ def _writer(folder: str, tokenizer_json: str, key: str, file_tokens: int):
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for i in range(0, len(texts), 500):
-                for doc, raw in zip(ids[i : i + 500], encode_texts(tokenizer, known, texts[i : i + 500]), strict=True):
+                for doc, raw in zip(ids[i : i + 500], known.encode(tokenizer, texts[i : i + 500]), strict=True):
                     docs.append(doc), counts.append(len(raw) // 4 + 1)
                     parts.extend((raw, end))
                     held += counts[-1]
