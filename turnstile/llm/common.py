@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +85,11 @@ def a_task_each(files: DataFrame, path: str = "path") -> DataFrame:
     """A list of files dealt out by path, to as many tasks as there are files. The number is given outright: a list is
     short, and would otherwise be put together into one task however much its files hold."""
     return files.repartition(max(1, min(FILE_TASKS, files.count())), F.col(path))
+
+
+def kept_in_worker(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker made for an earlier task and can use again: look-up tables and what they have learned."""
+    home = sys.modules.setdefault("_turnstile_worker", types.ModuleType("_turnstile_worker")).__dict__
+    if key not in home:
+        home[key] = make()
+    return home[key]

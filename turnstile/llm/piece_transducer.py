@@ -24,6 +24,7 @@ has it; texts of any length are taken whole; repeated rows are encoded each for
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstile.llm.common import kept_in_worker
+
 MARK = "▁"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -253,8 +256,8 @@ class _Paths(dict):
 
 def _run(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
-        paths = _Paths(machine)
+        paths = kept_in_worker(f"paths-{zlib.crc32(model)}", lambda: _Paths(Transducer(model)))
+        machine = paths.machine
         for batch in batches:
             ids, texts, ends = [], [], [0]
             for text in batch.column("text").to_pylist():

@@ -17,8 +17,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import a_task_each, new_folder, staged
+from turnstile.llm.common import a_task_each, kept_in_worker, new_folder, staged
 from turnstile.llm.warc import file_system
 
 MAGIC, HEAD = b"TKF1", "<4sQQQQ"
@@ -161,15 +159,6 @@ class _Pieces:
         return out
 
 
-def _kept_pieces(key: str) -> _Pieces:
-    """A worker process goes on with the pieces that its earlier tasks have met."""
-    home = sys.modules.setdefault("_token_file_pieces", types.ModuleType("_token_file_pieces"))
-    pieces = home.__dict__.get(key)
-    if pieces is None:
-        pieces = home.__dict__[key] = _Pieces()
-    return pieces
-
-
 def _writer(folder: str, tokenizer_json: str, key: str, file_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,7 +166,7 @@ def _writer(folder: str, tokenizer_json: str, key: str, file_tokens: int):
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
-        known, end = _kept_pieces(key), struct.pack("<I", END_ID)
+        known, end = kept_in_worker(f"pieces-{key}", _Pieces), struct.pack("<I", END_ID)
         fs, path = file_system(folder)
         partition, done = TaskContext.get().partitionId(), []
         docs: list[int | None] = []
