@@ -24,12 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnstile.llm.common import maybe_in, staged
 
@@ -93,7 +91,7 @@ class _WordHashes(dict):
     """64-bit hash of a word; the table starts anew when it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -149,7 +147,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, part in variant_keys(line.split(" "), needs, hashes):
                 rows.append(i), kinds.append(kind), keys.append(part)
                 held += len(part)
-            if held >= 200_000:
+            if held >= 50_000:
                 yield packed(at, rows, kinds, keys)
                 rows, kinds, keys, held = [], [], [], 0
         if rows:
@@ -168,9 +166,11 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:]
 
 
-@F.pandas_udf(T.BooleanType())
-def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("line").to_pylist(), batch.column("other_line").to_pylist(), strict=True)
+        near = pa.array([within_one_edit(a.split(" "), b.split(" ")) for a, b in pairs], pa.bool_())
+        yield batch.select(["at", "h1"]).filter(near)
 
 
 def _edited(docs: DataFrame, needs: DataFrame, firsts: DataFrame, names: tuple) -> DataFrame:
@@ -190,7 +190,7 @@ def _edited(docs: DataFrame, needs: DataFrame, firsts: DataFrame, names: tuple)
     pairs = maybe_in(variants, F.col("key"), groups, F.col("key")).join(groups, "key").select("at", witness.alias("other")).where("other < at").distinct()
     text = found.select("at", "h1", "line")
     both = pairs.join(text, "at").join(text.select(F.col("at").alias("other"), F.col("line").alias("other_line")), "other")
-    return both.where(_verified("line", "other_line")).select("at", "h1").distinct()
+    return both.select("at", "h1", "line", "other_line").mapInArrow(_verified, f"at {at_type}, h1 long").distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
