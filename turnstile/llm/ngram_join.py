@@ -8,10 +8,11 @@ more; a class is what links hold together, named by its least document id.
 2. MinHash: rows a band and number of bands follow from threshold and target recall (`choose_bands`).
 3. Band hashes are shuffled. Inside a bucket every document is paired with the least one, so a bucket of any size
    gives one pair a document, and the distinct pairs are verified on the full n-gram sets.
-4. Links so found make components. Where a bucket still holds several components, its documents are paired across
-   them and verified: no candidate pair is left out unless its two documents are linked already.
+4. Links so found make components. Where a bucket still holds several components, all its documents are compared across
+   them on their n-gram sets, in blocks of bounded size by products of set matrices that give back the links only: no
+   candidate pair is left out unless its two documents are linked already, and none is written down unless it is a link.
 
-Pairs are stored as links between representatives; copies are never expanded into pairs.
+Links are stored between representatives; copies are never expanded into pairs.
 
 Result: doc_id, class_id, n_links: verified links that the join holds for the document's text (pairs that are connected
 already are not compared again), and copies: documents with the same text.
@@ -35,6 +36,8 @@ from turnstile.llm.common import maybe_in, staged
 from turnstile.llm.components import components
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
+#: N-grams and documents that are compared in one block.
+BLOCK_GRAMS, BLOCK_DOCS = 400_000, 2_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -134,6 +137,59 @@ def _similar(n: int, threshold: float):
     return run
 
 
+def links_across(roots: list[int], grams: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a block whose roots differ and whose sets are similar enough.
+
+    The sets make a matrix, documents by n-grams; rows of all roots but the most frequent are multiplied with it.
+    """
+    n = len(roots)
+    root, sizes = np.array(roots), np.array([len(g) for g in grams])
+    values, counts = np.unique(root, return_counts=True)
+    rest = np.flatnonzero(root != values[counts.argmax()])
+    if not len(rest):
+        return []
+    known, column = np.unique(np.concatenate(grams), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    # N-grams of one document only cannot be shared.
+    shared = np.bincount(column, minlength=len(known)) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    both = np.zeros((len(rest), n), np.float32)
+    for first in range(0, int(shared.sum()), 2048):
+        here = (column >= first) & (column < first + 2048)
+        part = np.zeros((n, 2048), np.float32)
+        part[owner[here], column[here] - first] = 1
+        both += part[rest] @ part.T
+    total = sizes[rest, None] + sizes[None, :] - both
+    i, j = np.nonzero((both >= threshold * total) & (root[rest, None] != root[None, :]))
+    return [(int(rest[x]), int(y)) for x, y in zip(i, j, strict=True)]
+
+
+def _blocks(n: int, threshold: float):
+    """Rows sorted by (band, low, high): the links across roots in each such block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, docs, roots, grams = _WordHashes(), None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = links_across(roots, grams, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in pairs], pa.int64()), pa.array([docs[j] for _, j in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "low", "high")), strict=True)
+            texts = batch.column("text")
+            for i, (own, doc, root) in enumerate(zip(keys, batch.column("doc").to_pylist(), batch.column("root").to_pylist(), strict=True)):
+                if own != key:
+                    if len(docs) > 1:
+                        yield found()
+                    key, docs, roots, grams = own, [], [], []
+                docs.append(doc), roots.append(root), grams.append(shingles(texts[i].as_py(), n, hashes))
+        if len(docs) > 1:
+            yield found()
+
+    return run
+
+
 def _shared(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The rows of the keys under which at least two values stand."""
     groups = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low != high")
@@ -171,10 +227,13 @@ def links_and_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     rooted = met.drop("low", "high").join(classes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = staged(_shared(rooted, "band", "root").drop("low", "high"), "ngram-open")
-    a, b = open_.alias("a"), open_.alias("b")
-    close = F.least("a.size", "b.size") >= F.lit(threshold) * F.greatest("a.size", "b.size")
-    across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") > F.col("b.root")) & close).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
-    more = _verified(across, worded, n, threshold)
+    # A bucket is dealt out in blocks of bounded size, and every two of its blocks meet once.
+    parts = open_.groupBy("band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_GRAMS, F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
+    dealt = open_.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "doc", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    used = maybe_in(worded, F.xxhash64("doc"), open_, F.xxhash64("doc"))
+    filled = dealt.join(used, "doc").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "doc")
+    more = staged(filled.select("band", "low", "high", "doc", "root", "text").mapInArrow(_blocks(n, threshold), "a long, b long"), "ngram-links")
     links = links.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = staged(links, "ngram-all-links")
     return copies, links, staged(components(links), "ngram-classes")
