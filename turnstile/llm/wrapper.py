@@ -3,7 +3,7 @@
 Pages of a host share a template. Every page's DOM tree is folded (siblings of the same label become one node), which
 leaves few distinct trees a host; these are merged into the host's template by simple tree matching (Yang 1991): equal
 roots match, and their children are aligned in order for the greatest number of matched nodes. Every folded node of
-every page then falls on a template node, a slot. Slots whose text is the same on nearly all of the host's distinct
+every page then falls on a template node, a slot. Blocks whose slot has the same text on nearly all of the host's distinct
 pages are template; slots whose text varies are content.
 
 Not every varying slot is the article: menus, adverts and footers vary too. Elements made for these, by tag, role, class
@@ -48,6 +48,7 @@ RAW = frozenset("script style noscript template iframe svg math textarea select
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open element of the given kinds, and where the search for it ends.
 CLOSES = {t: ("p",) for t in BLOCKS} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",), "body": ("html",)}
@@ -309,7 +310,7 @@ def blocks(root: Node, constant: set[int], placed: list[int]) -> list[str]:
                 else:
                     yield from regions(k, tags)
 
-    def walk(node: Node, inside: bool) -> None:
+    def walk(node: Node, inside: bool, kept: bool = True) -> None:
         block = node.tag in BLOCKS
         if node.skip or node.tag == "header" and not inside:
             if block:
@@ -317,15 +318,17 @@ def blocks(root: Node, constant: set[int], placed: list[int]) -> list[str]:
             return
         if block:
             flush()
-        own = not constant or placed[number[id(node)]] not in constant
+        # A phrase belongs to its block; headings of an article are its own even if all pages have them.
+        if block:
+            kept = not constant or placed[number[id(node)]] not in constant or inside and node.tag in HEADINGS
         for k in node.kids:
             if isinstance(k, str):
-                if own:
+                if kept:
                     parts.append(k)
             elif k.tag == "br":
                 parts.append(" ")
             else:
-                walk(k, inside)
+                walk(k, inside, kept)
         if block:
             flush()
 
