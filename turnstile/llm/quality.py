@@ -29,6 +29,8 @@ H_SHARE, CONSISTENCY = 0.75, 1.486
 STEPS = 3
 #: Fewest base-passing documents of a (language, source) group with an estimate of its own.
 SMALL = 40
+#: Most groups whose parameters, some 150 bytes each, are broadcast; beyond that the join shuffles.
+BROADCAST_GROUPS = 100_000
 #: Squared distance beyond which a document is an outlier.
 CUTOFF = 42.0
 #: Least scales, in thousandths, of: log mean word length; log symbols, repeated lines and repeated words per hundred.
@@ -209,7 +211,9 @@ def judged(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "l
     grouped = staged(spark.sql(grouped_sql("{v}", "{s}"), v=vectors, s=sizes), "quality-vectors")
     factor = staged(estimates(grouped), "quality-estimates")
     near = ["gl", "gs0", *(f"m{i}" for i in range(1, DIMS + 1)), *(f"l{j}{i}" for i, j in PAIRS)]
-    params = spark.sql(f"SELECT {', '.join(near)} FROM {{s}} s JOIN {{f}} f USING (gl, gs)", s=sizes, f=factor)
+    params = staged(spark.sql(f"SELECT {', '.join(near)} FROM {{s}} s JOIN {{f}} f USING (gl, gs)", s=sizes, f=factor), "quality-parameters")
+    if params.count() <= BROADCAST_GROUPS:
+        params = F.broadcast(params)
     all_rows = stats.select("row", "base", F.expr(LANG).alias("gl"), F.expr(SOURCE).alias("gs0"), *[F.expr(f"CASE WHEN NOT base.base_failed THEN {_in_base(e)} END").alias(n) for n, e in VECTOR.items()])
     out = spark.sql(distance_sql("{t}", "row, base"), t=all_rows.join(params, ["gl", "gs0"], "left"))
     return out.withColumn("kept", F.expr(f"NOT base.base_failed AND coalesce(d2 <= {CUTOFF}e0, true)"))
