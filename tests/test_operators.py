@@ -6,6 +6,7 @@ import random
 from conftest import values
 from pyspark.sql import functions as F
 
+from turnstile.functions import scalars as X
 from turnstile.operators import documents as doc
 from turnstile.operators import joins as jn
 from turnstile.operators import merge as mg
@@ -67,17 +68,35 @@ def test_fallback_key_without_repeats(spark):
     assert got == [(1, 7, "d"), (1, 9, "f"), (2, 8, "e"), (3, 9, "f")]
 
 
-def test_large_parents_come_in_ordered_parts(spark):
+def test_a_parent_has_one_row_with_every_child_once(spark):
     parent = spark.createDataFrame([(k,) for k in range(25)], "k int")
-    out = doc.collect_children(parent, skewed(spark), "k", ["id"], ["v", "id"], "c", part_rows=100).collect()
-    sizes = [len(r["c"]) for r in out if r["c"]]
-    assert max(sizes) < 300 and sum(sizes) == len(SKEWED)
-    assert len({r["part"] for r in out if r["k"] == 0}) > 5
-    assert all(r["c"] is None for r in out if r["k"] >= 20)
-    order = {i: (v, i) for _, v, i in SKEWED}
-    for r in out:
-        ids = [e["id"] for e in r["c"] or []]
-        assert ids == sorted(ids, key=order.get)
+    out = {r["k"]: r["c"] for r in doc.collect_children(parent, skewed(spark), "k", ["id"], ["v", "id"], "c").collect()}
+    assert len(out) == 25 and all(out[k] is None for k in range(20, 25))
+    for k in range(20):
+        assert [e["id"] for e in out[k] or []] == [i for _, i in sorted((v, i) for key, v, i in SKEWED if key == k)]
+
+
+def test_a_parent_of_fifty_thousand_children(spark):
+    child = spark.range(50_000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    (row,) = doc.collect_children(spark.createDataFrame([(1,)], "k int"), child, "k", ["v"], ["v"], "c").collect()
+    assert [e["v"] for e in row["c"]] == list(range(50_000))
+
+
+def test_derived_ids_tell_keys_apart(spark):
+    rows = [("1", None, "2"), ("1", "2", None), ("x|y", "z", ""), ("x", "y|z", ""), ("x", "y", "z"), ("xy", "", "z")]
+    df = spark.createDataFrame(rows, "a string, b string, c string").select(X.derived_uuid("a", "b", "c").alias("u"))
+    assert df.distinct().count() == len(rows)
+
+
+def test_ids_do_not_follow_the_partitions(spark):
+    rows = spark.range(500).select(F.col("id").alias("n"))
+    got = []
+    for partitions in ("8", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got.append(values(mg.assign_ids(rows, ["n"], "new")))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1] and sorted(i for _, i in got[0]) == list(range(1, 501))
+
 
 
 def test_upsert_is_idempotent_and_last_change_wins(spark):

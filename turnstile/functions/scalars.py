@@ -24,6 +24,8 @@ def clock(as_of) -> Column:
         return F.convert_timezone(F.lit("UTC"), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
     if isinstance(as_of, Column):
         return as_of
+    if isinstance(as_of, dt.datetime) and as_of.tzinfo is not None:
+        as_of = as_of.astimezone(dt.timezone.utc)
     text = as_of.strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(as_of, dt.datetime) else str(as_of)
     return F.lit(text).cast("timestamp_ntz")
 
@@ -198,7 +200,9 @@ def fingerprint(col) -> Column:
 
 
 def derived_uuid(*cols) -> Column:
-    """Identifier in UUID form that a re-run of the same rows repeats."""
-    digest = F.upper(F.sha2(F.concat_ws("|", *[as_col(c).cast("string") for c in cols]), 256))
+    """Identifier in UUID form that a re-run of the same rows repeats; each part is written with its length, so that
+    different keys differ, nulls and separators included."""
+    texts = [as_col(c).cast("string") for c in cols]
+    digest = F.upper(F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256))
     cut = lambda start, size: F.substring(digest, start, size)
     return F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))

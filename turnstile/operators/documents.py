@@ -1,4 +1,4 @@
-"""Nested documents: objects without empty members, child arrays of bounded size."""
+"""Nested documents: objects without empty members, sorted child arrays."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A document names at most this many children of one kind per part.
-PART_ROWS = 20_000
-
-
 def nested(mapping: dict) -> Column:
     """Object from {member: column | dict}; an object whose leaves are all null is null itself."""
     return _object(mapping)[0]
@@ -46,51 +42,28 @@ def nest_paths(df: DataFrame, paths: dict[str, Column | str], keep: list[str] =
     return df.select(*keep, *columns)
 
 
-def child_arrays(
-    child: DataFrame, key, fields: dict | list, order: list[str | Column], as_: str, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """(key, part, array of child objects), each array sorted by `order`.
+def child_arrays(child: DataFrame, key, fields: dict | list, order: list[str | Column], as_: str) -> DataFrame:
+    """(key, array of child objects), one row per parent, each array sorted by `order`.
 
-    A parent with more than `part_rows` children is cut into parts by a hash of the whole child, so
-    that no task and no array ever holds an unbounded group; usual parents have part 0 only. Readers
-    merge the parts by the sort key.
+    The result has one form whatever the number of children: a parent's document names all of them, so the
+    parents must be such as bound their children (an invoice's lines, a payment's allocations).
     """
     keys = [key] if isinstance(key, str) else list(key)
     mapping = fields if isinstance(fields, dict) else {f: f for f in fields}
-    element = nested(mapping)
     sort_key = F.struct(*[(o if isinstance(o, Column) else F.col(o)).alias(f"o{i}") for i, o in enumerate(order)])
-    rows = child.select(*keys, sort_key.alias("__o"), element.alias("__e"))
-    large = (
-        rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > part_rows)
-        .select(*keys, F.ceil(F.col("__n") / F.lit(part_rows)).cast("int").alias("__parts"))
-    )
-    rows = rows.join(large, keys, "left").withColumn(
-        "part",
-        F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("__o", F.to_json("__e")), F.col("__parts")).cast("int")
-        ),
-    )
+    rows = child.select(*keys, sort_key.alias("__o"), nested(mapping).alias("__e"))
     packed = F.sort_array(F.collect_list(F.struct("__o", "__e")))
-    return rows.groupBy(*keys, "part").agg(F.transform(packed, lambda x: x["__e"]).alias(as_))
+    return rows.groupBy(*keys).agg(F.transform(packed, lambda x: x["__e"]).alias(as_))
 
 
 def attach_children(parent: DataFrame, key, arrays: list[DataFrame]) -> DataFrame:
-    """Parent rows with their child arrays; a parent without children of a kind has null there.
-
-    Parents whose children come in several parts repeat once per part.
-    """
+    """Parent rows with their child arrays; a parent without children of a kind has null there."""
     keys = [key] if isinstance(key, str) else list(key)
-    joined = arrays[0]
-    for other in arrays[1:]:
-        joined = joined.join(other, [*keys, "part"], "full")
-    return parent.join(joined, keys, "left").withColumn("part", F.coalesce(F.col("part"), F.lit(0)))
+    return reduce(lambda df, array: df.join(array, keys, "left"), arrays, parent)
 
 
-def collect_children(
-    parent: DataFrame, child: DataFrame, key, fields, order, as_: str, part_rows: int = PART_ROWS
-) -> DataFrame:
-    return attach_children(parent, key, [child_arrays(child, key, fields, order, as_, part_rows)])
+def collect_children(parent: DataFrame, child: DataFrame, key, fields, order, as_: str) -> DataFrame:
+    return attach_children(parent, key, [child_arrays(child, key, fields, order, as_)])
 
 
 def as_json(df: DataFrame, keys: list[str], as_: str = "document") -> DataFrame:

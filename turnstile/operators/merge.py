@@ -6,8 +6,6 @@ next version; see sources.sinks.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +112,19 @@ def raise_only(df: DataFrame, col: str, computed: str) -> DataFrame:
     return df.withColumn(col, F.when(F.col(col) < F.col(computed), F.col(computed)).otherwise(F.col(col)))
 
 
-def assign_ids(df: DataFrame, order: list[str], as_: str, start=0, bucket: Column | None = None, buckets: int | None = None) -> DataFrame:
+#: Buckets that new ids are numbered in; another number gives other ids.
+ID_BUCKETS = 16_384
+
+
+def assign_ids(df: DataFrame, order: list[str], as_: str, start=0, bucket: Column | None = None, buckets: int = ID_BUCKETS) -> DataFrame:
     """Dense ids start+1, start+2, ... over a natural key, without one global sort.
 
     Rows are filed in buckets, numbered inside each, and shifted by the count of all earlier buckets.
-    The default bucket is a hash of the natural key, 16 buckets to a shuffle partition; a bucket
+    The default bucket is a hash of the natural key into a fixed number of buckets, so that the ids follow from
+    the rows alone and not from the cluster's settings; a bucket
     expression that grows with the first order column makes the ids follow the order. `start` is a
     number or a one-row DataFrame.
     """
-    if buckets is None:
-        buckets = max(1024, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     filed = bucket if bucket is not None else F.pmod(F.xxhash64(*order), F.lit(buckets))
     rows = df.withColumn("__bucket", filed.cast("long"))
     sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__size"))
@@ -163,11 +164,3 @@ def fan_out(df: DataFrame, keep: list[str], variants: list[dict[str, Column]]) -
     names = list(variants[0])
     options = F.array(*[F.struct(*[v[n].alias(n) for n in names]) for v in variants])
     return df.select(*keep, F.explode(options).alias("__v")).select(*keep, *[F.col(f"__v.{n}").alias(n) for n in names])
-
-
-def change_log(parts: dict[str, DataFrame]) -> DataFrame:
-    """(table, rows) of a batch, for the run log."""
-    return reduce(
-        DataFrame.unionByName,
-        [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in parts.items()],
-    )

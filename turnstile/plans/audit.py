@@ -47,7 +47,7 @@ def audit_totals(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
 
 
 def booking_snapshots(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
-    """(booking_id, part, booking_json) of bookings in an undeleted schedule."""
+    """(booking_id, booking_json) of bookings in an undeleted schedule."""
     booking = _wanted(cat.table("booking.Booking", "id", "park_id", "account_id", "schedule_detail_id", "product_level_id", *BOOKING).withColumnRenamed("id", "booking_id"), ids, "booking_id")
     schedule = cat.table("booking.Schedule", "id", "date", "template_id", "deleted").filter(F.col("deleted").isNull()).select(
         F.col("id").alias("schedule_id"), F.col("date").alias("schedule_date"), "template_id"
@@ -83,12 +83,12 @@ def booking_snapshots(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
         "Account.PrimaryAccountHolder.FirstName": "first_name", "Account.PrimaryAccountHolder.LastName": "last_name", "ProductLevel.Id": "product_level_id",
         "ProductLevel.Name": "level_name", "Fees": "fees", "Guests": "guests", "Items": "items", "Participants": "participants",
     }
-    nested = doc.nest_paths(doc.attach_children(parents, "booking_id", arrays), paths, keep=["booking_id", "part"])
-    return doc.as_json(nested, ["booking_id", "part"], "booking_json")
+    nested = doc.nest_paths(doc.attach_children(parents, "booking_id", arrays), paths, keep=["booking_id"])
+    return doc.as_json(nested, ["booking_id"], "booking_json")
 
 
 def booking_audit(cat: Catalog, ids: DataFrame | None, user: str, as_of=None) -> DataFrame:
     """Rows to append to the audit table; a booking without a valid schedule has no snapshot."""
     now = X.clock(as_of)
     rows = audit_totals(cat, ids).join(booking_snapshots(cat, ids), "booking_id", "left")
-    return rows.withColumns({"part": F.coalesce("part", F.lit(0)), "created_by": F.lit(user), "created_date": now, "modified_by": F.lit(user), "modified_date": now})
+    return rows.withColumns({"created_by": F.lit(user), "created_date": now, "modified_by": F.lit(user), "modified_date": now})

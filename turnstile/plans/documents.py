@@ -50,7 +50,7 @@ def _cards(cat: Catalog, *columns: str) -> DataFrame:
 
 
 def invoice_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
-    """(invoice_header_id, part, document columns); `ids`: invoice_header_id, or all invoices."""
+    """(invoice_header_id, document columns); `ids`: invoice_header_id, or all invoices."""
     header = _wanted(
         cat.table("invoice.InvoiceHeader", "id", "confirmation_code", "account_id", "location_id", "currency_id").withColumnRenamed("id", "invoice_header_id"), ids, "invoice_header_id"
     )
@@ -73,9 +73,9 @@ def invoice_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
     allocations = doc.child_arrays(
         _active_allocations(cat).join(kept, "payment_id", "left_semi").withColumn("owner", F.col("payment_id")), "owner", _camel(ALLOCATION), ["id"], "allocations"
     ).withColumnRenamed("owner", "id")
-    listed = doc.attach_children(payments, "id", [allocations]).withColumnRenamed("part", "allocation_part")
+    listed = doc.attach_children(payments, "id", [allocations])
     members = {**_camel(payment_columns), "PaymentMethod": {"LastFour": "last_four"}, "PaymentInvoiceDetails": "allocations"}
-    payment_arrays = doc.child_arrays(listed, "invoice_header_id", members, ["id", "allocation_part"], "payments")
+    payment_arrays = doc.child_arrays(listed, "invoice_header_id", members, ["id"], "payments")
     rows = doc.attach_children(parents, "invoice_header_id", [details, payment_arrays])
     return _nested(
         rows,
@@ -84,7 +84,7 @@ def invoice_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
             "Account.PrimaryAccountHolder.LastName": "last_name", "Account.PrimaryAccountHolder.EmailAddress": "email_address", "Location.Name": "location_name",
             "Location.Brand.Name": "brand_name", "Currency.Code": "currency_code", "InvoiceDetails": "invoice_details", "Payments": "payments",
         },
-        ["invoice_header_id", "part"],
+        ["invoice_header_id"],
     )
 
 
@@ -133,7 +133,7 @@ CODE_PAYMENT = [
 
 
 def invoice_documents_by_code(cat: Catalog, keys: DataFrame) -> DataFrame:
-    """(invoice_header_id, part, document columns) for `keys`: confirmation_code, account_id."""
+    """(invoice_header_id, document columns) for `keys`: confirmation_code, account_id."""
     header = cat.table("invoice.InvoiceHeader", "id", "invoice_status_id", "account_id", "notes", "tax_exempt_id", "booking_id", "location_id", "confirmation_code").withColumnRenamed(
         "id", "invoice_header_id"
     ).join(keys.select("confirmation_code", "account_id").distinct(), ["confirmation_code", "account_id"], "left_semi")
@@ -155,11 +155,11 @@ def invoice_documents_by_code(cat: Catalog, keys: DataFrame) -> DataFrame:
         owned, ["invoice_header_id", "detail_key"], _camel(["payment_id", "invoice_detail_id", "paid_principle", "paid_tax"]), ["payment_id", "paid_principle"], "allocations"
     ).withColumnRenamed("detail_key", "id")
     listed = (
-        doc.attach_children(details, ["invoice_header_id", "id"], [allocations]).withColumnRenamed("part", "allocation_part").join(view, "subscription_id", "left")
+        doc.attach_children(details, ["invoice_header_id", "id"], [allocations]).join(view, "subscription_id", "left")
         .withColumn("is_combo_item", combo)
     )
     # Lines with a subscription come before fees, discounts and tips.
-    order = [F.when(F.col("subscription_id").isNull(), 1).otherwise(0), "id", "allocation_part"]
+    order = [F.when(F.col("subscription_id").isNull(), 1).otherwise(0), "id"]
     detail_arrays = doc.child_arrays(
         listed, "invoice_header_id", {**_camel(CODE_DETAIL), "IsComboItem": "is_combo_item", "Subscription": _SUBSCRIPTION, "PaymentInvoiceDetails": "allocations"}, order, "invoice_details"
     )
@@ -187,7 +187,7 @@ def invoice_documents_by_code(cat: Catalog, keys: DataFrame) -> DataFrame:
             "InvoiceHeader.Location.Id": "location_id", "InvoiceHeader.Location.Brand.Id": "brand_id", "Payments": "payments", "InvoiceDetails": "invoice_details",
             "InvoiceRedemptionDetails": "redemptions", "SelfServiceInvoiceParticipants": "guests",
         },
-        ["invoice_header_id", "part"],
+        ["invoice_header_id"],
     )
 
 
@@ -216,7 +216,7 @@ def _listed_details(cat: Catalog) -> DataFrame:
 
 
 def payment_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
-    """(payment_id, part, document columns); `ids`: payment_id, or all payments."""
+    """(payment_id, document columns); `ids`: payment_id, or all payments."""
     payments = cat.table("invoice.Payment", *PAYMENT)
     chosen = payments if ids is None else payments.join(ids.select(F.col("payment_id").alias("id")).distinct(), "id", "left_semi")
     key = "payment_id"
@@ -239,7 +239,7 @@ def payment_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
     )
     made = cat.table("invoice.AdjustmentPayment", "id", "adjustment_invoice_id", "payment_id").toDF("adjustment_payment_id", "adjustment_invoice_id", "refund_id").join(refund, "refund_id")
     made = made.withColumnRenamed("refunded_payment_id", key)
-    with_fees = made.join(fees.toDF("refund_id", "fee_part", "refund_fees"), "refund_id", "left")
+    with_fees = made.join(fees.toDF("refund_id", "refund_fees"), "refund_id", "left")
     adjustment_key = ["adjustment_invoice_id", key]
     refunds = doc.child_arrays(
         with_fees, adjustment_key,
@@ -249,7 +249,7 @@ def payment_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
                 "Id": "refund_id", "Amount": "amount", "FeeAmount": "fee_amount", "ApplicationFeeTotal": "application_fee_total", "RefundedPayment": {"Id": key}, "ApplicationFeeDetails": "refund_fees",
             },
         },
-        ["adjustment_payment_id", F.coalesce("fee_part", F.lit(0))], "adjustment_payments",
+        ["adjustment_payment_id"], "adjustment_payments",
     )
     adjusted = _active_details(cat, "id", "unit_principle", "unit_tax", "quantity").drop("invoice_header_id").withColumnRenamed("id", "invoice_detail_id")
     kept_refunds = made.filter(F.col("refund_status").isin(codes.PAYMENT_KEPT)).select(*adjustment_key).distinct()
@@ -266,15 +266,15 @@ def payment_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
         ["adjustment_detail_id"], "adjustment_details",
     )
     invoices = cat.table("invoice.AdjustmentInvoice", "id", "invoice_header_id").withColumnRenamed("id", "adjustment_invoice_id").join(targets, "invoice_header_id")
-    adjusted_invoices = doc.attach_children(invoices, adjustment_key, [refunds, adjustments]).withColumnRenamed("part", "adjustment_part")
+    adjusted_invoices = doc.attach_children(invoices, adjustment_key, [refunds, adjustments])
     adjustment_arrays = doc.child_arrays(
         adjusted_invoices, key, {"Id": "adjustment_invoice_id", "AdjustmentPayments": "adjustment_payments", "AdjustmentDetails": "adjustment_details"},
-        ["adjustment_invoice_id", "adjustment_part"], "adjustment_invoices",
+        ["adjustment_invoice_id"], "adjustment_invoices",
     )
     details = _listed_details(cat)
     # Lines are packed once per invoice, however many payments show them.
     packed_lines = doc.child_arrays(details, "invoice_header_id", _camel(PAID_DETAIL), ["id"], "invoice_details")
-    lines = targets.join(packed_lines, "invoice_header_id").select(key, "part", "invoice_details")
+    lines = targets.join(packed_lines, "invoice_header_id").select(key, "invoice_details")
     paid_rows = (
         _active_allocations(cat).filter((F.col("paid_principle") != 0) | (F.col("paid_tax") != 0)).withColumnRenamed("id", "allocation_id")
         .join(details.withColumnRenamed("id", "invoice_detail_id").drop("invoice_header_id"), "invoice_detail_id")
@@ -292,7 +292,7 @@ def payment_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
             "InvoiceHeader.Location.Brand.Id": "brand_id", "InvoiceHeader.AdjustmentInvoices": "adjustment_invoices", "InvoiceHeader.InvoiceDetails": "invoice_details",
             "PaymentInvoiceDetails": "allocations", "ApplicationFeeDetails": "fees",
         },
-        [key, "part"],
+        [key],
     )
 
 
@@ -309,7 +309,7 @@ SPECIAL_EVENT = [
 
 
 def special_event_documents(cat: Catalog, ids: DataFrame | None = None) -> DataFrame:
-    """(booking_id, part, document columns); `ids`: booking_id, or all special events."""
+    """(booking_id, document columns); `ids`: booking_id, or all special events."""
     booking = _wanted(cat.table("booking.Booking", "id", *BOOKING).withColumnRenamed("id", "booking_id"), ids, "booking_id")
     resource = cat.table("booking.Resource", "id", "name", "resource_type_id").toDF("resource_id", "resource_name", "resource_type_id").join(
         cat.table("booking.ResourceType", "id").withColumnRenamed("id", "resource_type_id"), "resource_type_id", "left_semi"
@@ -347,8 +347,8 @@ def special_event_documents(cat: Catalog, ids: DataFrame | None = None) -> DataF
     parents = parents.withColumn("owner", F.to_json(F.struct("booking_id", "invoice_id", "invoice_header_id")))
     owners = parents.select("owner", "booking_id", "invoice_id", "invoice_header_id").distinct()
     lists = [
-        owners.join(items, "booking_id").select("owner", "part", "items"), owners.join(second_payments, "invoice_id").select("owner", "part", "second_payments"),
-        owners.join(first_payments, "invoice_header_id").select("owner", "part", "first_payments"),
+        owners.join(items, "booking_id").select("owner", "items"), owners.join(second_payments, "invoice_id").select("owner", "second_payments"),
+        owners.join(first_payments, "invoice_header_id").select("owner", "first_payments"),
     ]
     rows = doc.attach_children(parents, "owner", lists)
     return _nested(
@@ -360,5 +360,5 @@ def special_event_documents(cat: Catalog, ids: DataFrame | None = None) -> DataF
             "Park.ParkEx.PaymentProcessorVersion": "payment_processor_version", "Park.SubAccountLocation.SubAccountId": "sub_account_id", "Invoice.Id": "second_invoice_id",
             "Invoice.Payments": "second_payments", "InvoiceHeader.Id": "invoice_header_id", "InvoiceHeader.Payments": "first_payments",
         },
-        ["booking_id", "part"],
+        ["booking_id"],
     )

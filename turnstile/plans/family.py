@@ -49,12 +49,12 @@ def family_calendar(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame:
             "reservation_id", {"Date": "date"}, ["date"], "reservation_exclusions")),
     ]
     for key, array in arrays:
-        rows = rows.join(array.withColumnRenamed("part", f"{key}_part"), key, "left").drop(f"{key}_part")
+        rows = rows.join(array, key, "left")
     return rows
 
 
 def family_documents(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame:
-    """(request_id, part, Reservations): one document array per request."""
+    """(request_id, Reservations): one document array per request."""
     rows = doc.nest_paths(family_calendar(cat, requests, as_of), PATHS, keep=["request_id", "reservation_id"])
     members = [c for c in rows.columns if c not in ("request_id", "reservation_id")]
     return doc.child_arrays(rows, "request_id", {m: m for m in members}, ["reservation_id"], "Reservations")
@@ -133,7 +133,7 @@ def _people(cat: Catalog, rows: DataFrame, now) -> DataFrame:
     )
     others = doc.child_arrays(other_memberships(cat, rows, now), ["person_id", "park_id"], {"Id": "other_id"}, ["other_id"], "all_memberships")
     alone = F.filter("all_memberships", lambda x: x["Id"] != F.col("subscription_id"))
-    return joined.join(others.drop("part"), ["person_id", "park_id"], "left").withColumn("others", F.when(F.array_size(alone) > 0, alone)).drop("all_memberships", "known")
+    return joined.join(others, ["person_id", "park_id"], "left").withColumn("others", F.when(F.array_size(alone) > 0, alone)).drop("all_memberships", "known")
 
 
 def other_memberships(cat: Catalog, rows: DataFrame, now) -> DataFrame:

@@ -42,7 +42,7 @@ def asked(cat: Catalog, requests: DataFrame) -> DataFrame:
 
 
 def timeslot_documents(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame:
-    """(request_id, part, Slots): slots of a request in order of start and theme."""
+    """(request_id, Slots): slots of a request in order of start and theme."""
     rows = timeslots(cat, requests, as_of)
     return doc.child_arrays(rows, "request_id", OUTPUT, ["start_hour", "party_theme", "end_hour", "bundle_schedule_id"], "Slots")
 

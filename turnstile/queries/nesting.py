@@ -126,7 +126,7 @@ def doc_three_level(t):
     nations = doc.collect_children(t.nation, sellers, "n_nationkey", {"Id": "s_suppkey"}, ["s_suppkey"], "Sellers")
     regions = doc.collect_children(
         t.region.select("r_regionkey"), nations.withColumnRenamed("n_regionkey", "r_regionkey"), "r_regionkey",
-        {"Id": "n_nationkey", "Sellers": "Sellers"}, ["n_nationkey", "part"], "Nations",
+        {"Id": "n_nationkey", "Sellers": "Sellers"}, ["n_nationkey"], "Nations",
     )
     text = F.transform(
         "Nations", lambda n: F.concat(n["Id"].cast("string"), F.lit("["), F.coalesce(_joined(n["Sellers"], "Id"), F.lit("")), F.lit("]"))

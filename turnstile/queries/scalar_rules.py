@@ -176,7 +176,7 @@ def date_tz_local(t):
 
 @query("id_deterministic", """
 SELECT c_custkey, upper(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) AS cookie_id
-FROM (SELECT c_custkey, sha256('cookie|' || c_custkey) AS h FROM customer) x
+FROM (SELECT c_custkey, sha256('6:cookie' || length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey) AS h FROM customer) x
 """)
 def id_deterministic(t):
     return t.customer.select("c_custkey", X.derived_uuid(F.lit("cookie"), "c_custkey").alias("cookie_id"))
