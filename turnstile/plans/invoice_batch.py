@@ -92,7 +92,7 @@ def merge_details(details: DataFrame, given: DataFrame, table: DataFrame, stamp:
     updated = mg.upsert(details, changes, ["id"], keep_when_null=kept, stamp=stamps, sequence="change_id", insert=False)
     new = given.join(match(INSERT_KEYS).select("change_id").distinct(), "change_id", "left_anti").select("invoice_header_id", "change_id", *kept)
     new = new.withColumns({**stamp, "created_by": F.lit(user), "created_date": now, "invoice_detail_status_id": F.lit(codes.STATUS_ACTIVE)})
-    return updated.unionByName(_typed(mg.with_new_ids(new, table, ["change_id"]), details))
+    return updated.unionByName(_typed(mg.with_new_ids(new, table, ["invoice_header_id", "change_id", "created_date"]), details))
 
 
 def link_lines(cat: Catalog, details: DataFrame, given: DataFrame) -> DataFrame:
