@@ -28,7 +28,7 @@ def convert_carts(cat: Catalog, requests: DataFrame, as_of=None) -> dict[str, Da
 
     `requests`: request_id, cookie_id, account_id, modified_by, row_ver, deposit_price, invoice_header_id,
     account_entitlement_id, clear_party_host. Each converts one cart: the caller's first by booking id,
-    carts without a booking in front.
+    carts without a booking in front. Of several carts on one booking the lowest request id converts.
     """
     now = X.clock(as_of)
     accepted, rejected = _choose_carts(cat, requests)
@@ -86,9 +86,12 @@ def _choose_carts(cat: Catalog, requests: DataFrame) -> tuple[DataFrame, DataFra
         requests.select("request_id", "cookie_id").join(carts, "cookie_id"), "request_id", [F.col("booking_id").asc_nulls_first(), F.col("cart_id")]
     ).drop("cookie_id")
     found, unknown = flt.split_rejects(requests.join(first, "request_id", "left"), [("not found", F.col("cart_id").isNull())])
-    accepted, refused = admit(cat, found)
+    admitted, refused = admit(cat, found)
+    # The first conversion gives its booking a new row version; later carts of the batch hold a stale copy.
+    first_of = admitted.filter(F.col("booking_id").isNotNull()).groupBy("booking_id").agg(F.min("request_id").alias("__first"))
+    accepted, late = flt.split_rejects(admitted.join(first_of, "booking_id", "left"), [("stale copy", F.col("request_id") > F.col("__first"))])
     columns = [*requests.columns, "reject_reason"]
-    return accepted, unknown.select(*columns).unionByName(refused.select(*columns))
+    return accepted.drop("__first"), unknown.select(*columns).unionByName(refused.select(*columns)).unionByName(late.select(*columns))
 
 
 def _bundle_prices(cat: Catalog) -> DataFrame:
