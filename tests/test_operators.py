@@ -55,6 +55,26 @@ def test_interval_joins_on_a_hot_key(spark):
     assert free == {i for _, _, i in dates} - {i for i, _ in met}
 
 
+def test_open_intervals_make_no_more_slots_than_the_dates_span(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    left = spark.createDataFrame([(1, day(i), i) for i in range(0, 90, 3)], "k int, d date, id int")
+    right = spark.createDataFrame([(1, day(30), dt.date(9999, 12, 31), 1), (1, dt.date(1900, 1, 1), day(2), 2), (1, day(400), day(500), 3)], "k int, s date, e date, span int")
+    slots = jn._by_slot(right, "s", "e", left, "d", 32, "slot").groupBy("span").count()
+    assert dict(values(slots)) == {1: 3, 2: 1}
+    met = {(i, 1 if i >= 30 else 2) for i in range(0, 90, 3) if i >= 30 or i <= 2}
+    assert {(r["id"], r["span"]) for r in jn.interval_join(left, right, "d", "s", "e", "k").collect()} == met
+    assert {r["id"] for r in jn.not_in_interval(left, right, "d", "s", "e", "k").collect()} == set(range(3, 30, 3))
+    assert jn.interval_join(left.limit(0), right, "d", "s", "e", "k").count() == 0
+
+
+def test_overlapping_blackouts_meet_a_row_once_per_pair_of_days(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    left = spark.createDataFrame([(1, day(i), i) for i in range(60)], "k int, d date, id int")
+    off = spark.range(3000).selectExpr("1 AS k", "date_add(date'2023-06-01', -cast(id AS int)) AS s", "date_add(date'2024-01-20', cast(id % 2 AS int)) AS e")
+    free = jn.not_in_interval(left, off, "d", "s", "e", "k")
+    assert {r["id"] for r in free.collect()} == set(range(21, 60))
+
+
 def test_any_key_ignores_nulls_and_repeats(spark):
     target = spark.createDataFrame([(1, "a", None), (2, None, "y"), (3, "a", "y")], "id int, p string, q string")
     source = spark.createDataFrame([(10, "a", "y"), (11, None, None)], "cid int, p string, q string")

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 
 def _on(keys) -> list[str]:
@@ -37,32 +38,42 @@ def band_join(left: DataFrame, right: DataFrame, value: str, band_start: str, wi
     ).drop(slot)
 
 
-def interval_join(left: DataFrame, right: DataFrame, date: str, start: str, end: str, on, days: int = 32) -> DataFrame:
+def _by_slot(intervals: DataFrame, start: str, end: str, dates: DataFrame, date: str, days: int, slot: str) -> DataFrame:
+    """Each interval once per calendar slot it shares with the span of the dates, so that open ends cost nothing."""
+    span = dates.agg(F.min(F.to_date(date)).alias("low"), F.max(F.to_date(date)).alias("high"))
+    low, high = span.select("low").scalar(), span.select("high").scalar()
+    met = intervals.filter((F.col(start) <= F.col(end)) & (F.to_date(start) <= high) & (F.to_date(end) >= low))
+    first, last = F.greatest(F.to_date(start), low), F.least(F.to_date(end), high)
+    return met.withColumn(slot, F.explode(F.sequence(_slot(first, days), _slot(last, days))))
+
+
+def interval_join(left: DataFrame, right: DataFrame, date: str, start: str, end: str, on, days: int = 32, dates: DataFrame | None = None) -> DataFrame:
     """Left rows whose date lies in a right row's closed interval, by key and calendar slot.
 
     Both ends of the interval must be known. Only intervals that share the slot of the date are met.
+    `dates`: a frame with the column `date` that spans the left rows' dates and is cheaper to read than they are.
     """
     slot = "__slot"
     lefts = left.withColumn(slot, _slot(F.col(date), days))
-    rights = (
-        right.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-        .withColumn(slot, F.explode(F.sequence(_slot(F.col(start), days), _slot(F.col(end), days))))
-    )
+    rights = _by_slot(right, start, end, left if dates is None else dates, date, days, slot)
     return lefts.join(rights, [*_on(on), slot]).filter(F.col(date).between(F.col(start), F.col(end))).drop(slot)
 
 
-def not_in_interval(left: DataFrame, blackout: DataFrame, date: str, start: str, end: str, on, days: int = 32) -> DataFrame:
+def not_in_interval(left: DataFrame, blackout: DataFrame, date: str, start: str, end: str, on, days: int = 32, dates: DataFrame | None = None) -> DataFrame:
     """Left rows with no closed interval of the same key around their date.
 
     Both sides carry the calendar slot of the date, so that a key with many rows and many intervals is
-    still compared slot by slot.
+    still compared slot by slot. Intervals of days are cut at their slot's ends and repeats dropped: however
+    many overlap, a key and slot keeps at most one per pair of days. `dates` as in `interval_join`.
     """
     keys = _on(on)
-    off = blackout.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-    b = off.select(
-        *[F.col(k).alias(f"__b_{k}") for k in keys], F.col(start).alias("__s"), F.col(end).alias("__e"),
-        F.explode(F.sequence(_slot(F.col(start), days), _slot(F.col(end), days))).alias("__b_slot"),
-    )
+    off = blackout.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col(start).alias("__s"), F.col(end).alias("__e"))
+    spanned = left if dates is None else dates
+    b = _by_slot(off, "__s", "__e", spanned, date, days, "__b_slot")
+    if all(isinstance(f.dataType, DateType) for f in (b.schema["__s"], b.schema["__e"], left.schema[date])):
+        slot_start = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("__b_slot") * days).cast("int"))
+        b = b.withColumns({"__s": F.greatest("__s", slot_start), "__e": F.least("__e", F.date_add(slot_start, days - 1))})
+    b = b.distinct()
     lefts = left.withColumn("__slot", _slot(F.col(date), days))
     same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"__b_{k}") for k in keys])
     return lefts.join(b, same & (F.col("__slot") == F.col("__b_slot")) & F.col(date).between(F.col("__s"), F.col("__e")), "left_anti").drop("__slot")

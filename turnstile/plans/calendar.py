@@ -56,7 +56,8 @@ def _entries(cat: Catalog, requests: DataFrame) -> DataFrame:
     ticket_prices = cat.table("product.TicketSchedule", "ticket_id", "category_schedule_id", "amount", "quantity").filter(F.col("quantity") > 0).drop("quantity")
     ticket_off = cat.table("product.TicketScheduleBlackout", "ticket_id", "start_date", "end_date")
     sold = jn.not_in_interval(
-        days.join(ticket, "category_id").join(ticket_prices, ["ticket_id", "category_schedule_id"]).filter(in_window()), ticket_off, "date", "start_date", "end_date", "ticket_id"
+        days.join(ticket, "category_id").join(ticket_prices, ["ticket_id", "category_schedule_id"]).filter(in_window()), ticket_off, "date", "start_date", "end_date", "ticket_id",
+        dates=requests,
     )
     normal = ~F.col("product_level_id").isin(codes.LEVELS_NOT_SOLD_AS_TICKET)
     small = F.col("product_level_id") == codes.LEVEL_FIVE_AND_UNDER
@@ -70,7 +71,8 @@ def _entries(cat: Catalog, requests: DataFrame) -> DataFrame:
     bundle_prices = cat.table("product.BundleSchedule", "bundle_id", "category_schedule_id", "amount", "quantity").filter(F.col("quantity") > 0).drop("quantity")
     bundle_off = cat.table("product.BundleScheduleBlackout", "bundle_id", "start_date", "end_date")
     bundles = jn.not_in_interval(
-        days.join(bundle, "category_id").join(bundle_prices, ["bundle_id", "category_schedule_id"]).filter(in_window()), bundle_off, "date", "start_date", "end_date", "bundle_id"
+        days.join(bundle, "category_id").join(bundle_prices, ["bundle_id", "category_schedule_id"]).filter(in_window()), bundle_off, "date", "start_date", "end_date", "bundle_id",
+        dates=requests,
     ).groupBy(*ENTRY).agg(F.min("amount").alias("amount"))
     return tickets.unionByName(bundles).groupBy(*ENTRY).agg(F.min("amount").alias("amount"))
 
@@ -93,7 +95,7 @@ def _categories(cat: Catalog, requests: DataFrame) -> DataFrame:
     blackout = cat.table("product.CategoryScheduleBlackout", "category_id", "start_date", "end_date")
     rows = requests.withColumn("dow", X.dow0("date")).join(category.join(hours, "category_id"), ["park_id", "dow"])
     read = rows.join(meter, ["park_id", "dow", "start_hour"], "left").filter(F.col("meter_deleted").isNull()).drop("meter_deleted")
-    return jn.not_in_interval(read, blackout, "date", "start_date", "end_date", "category_id")
+    return jn.not_in_interval(read, blackout, "date", "start_date", "end_date", "category_id", dates=requests)
 
 
 def _with_capacity(cat: Catalog, requests: DataFrame, entries: DataFrame, now: Column) -> DataFrame:

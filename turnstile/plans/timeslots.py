@@ -99,7 +99,7 @@ def open_slots(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     day = ["park_id", "date"]
     unscheduled = requests.join(schedule.select(*day).distinct(), day, "left_anti")
     dated = template.filter(F.col("start_date").isNotNull() & F.col("end_date").isNotNull()).select("template_id", "park_id", "start_date", "end_date")
-    overridden = jn.interval_join(unscheduled.select(*day).distinct(), dated, "date", "start_date", "end_date", "park_id").select(*day, "template_id")
+    overridden = jn.interval_join(unscheduled.select(*day).distinct(), dated, "date", "start_date", "end_date", "park_id", dates=requests).select(*day, "template_id")
     default = template.filter(F.col("start_date").isNull() & F.col("end_date").isNull() & F.col("is_default")).select("template_id", "park_id")
     by_default = unscheduled.join(overridden.select(*day).distinct(), day, "left_anti").join(default, "park_id")
     templated = unscheduled.join(overridden, day).unionByName(by_default)
