@@ -97,6 +97,11 @@ def test_contact_stream_resumes_where_it_stopped(spark, tmp_path):
     run()
     assert values(spark.read.parquet(str(tmp_path / "out" / "*")), "person_id") == [(1,), (2,)]
     assert sorted(r["record_count"] for r in spark.read.parquet(str(tmp_path / "log" / "*")).collect()) == [1, 1]
+    joined.filter("person_id = 1").write.parquet(str(tmp_path / "later"))
+    later = jobs.read_stream(spark, str(tmp_path / "later"), joined)
+    jobs.load_contacts(later, str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "cp2"), AS_OF).awaitTermination()
+    assert values(spark.read.parquet(str(tmp_path / "out" / "*")), "person_id") == [(1,), (1,), (2,)]
+    assert not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("batch=None")]
 
 
 # --- payments -------------------------------------------------------------------------------------------
@@ -195,14 +200,15 @@ def test_known_bookings_keep_prices_and_lose_old_items(spark, sf):
         {**mine, "id": 1000000001, "cookie_id": 500, "booking_id": b1["id"], "base_bundle_schedule_id": b1["bundle_schedule_id"], "promotion_id": 2},
         {**mine, "id": 1000000002, "cookie_id": 501, "booking_id": b2["id"], "base_bundle_schedule_id": schedule, "promotion_id": None},
         {**mine, "id": 1000000003, "cookie_id": 502, "booking_id": b2["id"]},
+        {**mine, "id": 1000000004, "cookie_id": 503, "booking_id": b1["id"]},
     ]
     cat = catalog.FrameCatalog(spark, {"booking.Cart": spark.createDataFrame([tuple(r[c] for c in cart.columns) for r in rows], cart.schema)}, base)
     requests = spark.createDataFrame(
-        [(1, 500, 9, "me", b1["row_ver"], None, None, 31, True), (2, 501, 9, "me", b2["row_ver"], None, None, None, False), (3, 502, 9, "me", b2["row_ver"] + 1, None, None, None, False), (4, 999, 9, "me", None, None, None, None, False)],
+        [(1, 500, 9, "me", b1["row_ver"], None, None, 31, True), (2, 501, 9, "me", b2["row_ver"], None, None, None, False), (3, 502, 9, "me", b2["row_ver"] + 1, None, None, None, False), (4, 999, 9, "me", None, None, None, None, False), (5, 503, 9, "me", b1["row_ver"], None, None, None, False)],
         "request_id int, cookie_id long, account_id long, modified_by string, row_ver long, deposit_price decimal(18,6), invoice_header_id long, account_entitlement_id int, clear_party_host boolean",
     )
     out = carts.convert_carts(cat, requests, AS_OF)
-    assert values(out["rejected"], "request_id", "reject_reason") == [(3, "stale copy"), (4, "not found")]
+    assert values(out["rejected"], "request_id", "reject_reason") == [(3, "stale copy"), (4, "not found"), (5, "stale copy")]
     assert values(out["converted"], "request_id", "booking_id", "is_new") == [(1, b1["id"], False), (2, b2["id"], False)]
     before = {r["booking_id"]: r["price"] for r in base.table("booking.BookingParticipant").filter("participant_type_id = 1").collect()}
     after = {r["booking_id"]: r["price"] for r in out["booking.BookingParticipant"].filter("participant_type_id = 1").collect()}

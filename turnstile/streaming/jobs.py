@@ -35,7 +35,8 @@ def as_instants(df: DataFrame, col: str) -> DataFrame:
 def load_contacts(people: DataFrame, out: str, log: str, checkpoint: str, as_of) -> StreamingQuery:
     """Append current, cleansed child rows file by file; the checkpoint takes the place of the watermark query.
 
-    Each micro-batch writes its own folder, so that a batch repeated after a failure replaces itself.
+    Each micro-batch writes a folder of its own, named by the query id that the checkpoint keeps and the batch's number:
+    a batch repeated after a failure replaces itself, and a load under a new checkpoint replaces nothing.
     """
     now = X.clock(as_of)
 
@@ -43,8 +44,9 @@ def load_contacts(people: DataFrame, out: str, log: str, checkpoint: str, as_of)
         rows = batch.filter((F.col("account_role_id") != codes.ROLE_OWNER) & (F.col("row_end") >= X.clock(codes.OPEN_END))).withColumns(
             {"first_name": X.clean_name("first_name", False), "last_name": X.clean_name("last_name", False), "date_of_birth": X.floor_1900("date_of_birth"), "dataload_create_date": now}
         )
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        sinks.run_log(batch.sparkSession.read.parquet(f"{out}/batch={batch_id}"), now).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        name = f"batch={batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        rows.write.mode("overwrite").parquet(f"{out}/{name}")
+        sinks.run_log(batch.sparkSession.read.parquet(f"{out}/{name}"), now).write.mode("overwrite").parquet(f"{log}/{name}")
 
     return people.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
