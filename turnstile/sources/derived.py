@@ -359,8 +359,11 @@ class DerivedCatalog(Catalog):
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> DerivedCatalog:
-        """The catalog of a folder; its lazy frames serve every job of a session until the files change."""
-        stamp = tuple((f.name, f.stat().st_size, f.stat().st_mtime_ns) for f in sorted(Path(sf_dir).glob("*"))) if Path(sf_dir).is_dir() else ()
+        """The catalog of a folder. Lazy frames of a local folder serve every job of a session until its files change;
+        those of any other path are made anew for each caller, as nothing here tells whether its files changed."""
+        if not Path(sf_dir).is_dir():
+            return cls(spark, sf_dir)
+        stamp = tuple((f.name, f.stat().st_size, f.stat().st_mtime_ns) for f in sorted(Path(sf_dir).glob("*")))
         key = (spark.sparkContext.applicationId, sf_dir, stamp)
         if key not in _CATALOGS:
             _CATALOGS[key] = cls(spark, sf_dir)
