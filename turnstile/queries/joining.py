@@ -160,27 +160,29 @@ def join_theta_ordinal(t):
 
 
 @query("join_any_key", """
-WITH k AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'error' ELSE NULL END AS event_type, user_id AS change_id FROM events WHERE user_id < 6)
-SELECT DISTINCT e.event_id, k.change_id FROM events e JOIN k ON e.user_id = k.user_id OR e.event_type = k.event_type
+WITH k AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN user_id * 3 END AS seen, user_id AS change_id FROM events),
+e AS (SELECT event_id, user_id, event_id AS seen FROM events)
+SELECT event_id, change_id FROM e JOIN k USING (user_id) UNION SELECT event_id, change_id FROM e JOIN k USING (seen)
 """)
 def join_any_key(t):
-    keys = t.events.filter(F.col("user_id") < 6).select("user_id").distinct().select(
-        "user_id", F.when(F.col("user_id") % 2 == 0, "error").alias("event_type"), F.col("user_id").alias("change_id")
+    keys = t.events.select("user_id").distinct().select(
+        "user_id", F.when(F.col("user_id") % 2 == 0, F.col("user_id") * 3).alias("seen"), F.col("user_id").alias("change_id")
     )
-    return jn.any_key_join(t.events, keys, ["user_id", "event_type"], "event_id", "change_id")
+    events = t.events.select("event_id", "user_id", F.col("event_id").alias("seen"))
+    return jn.any_key_join(events, keys, ["user_id", "seen"], "event_id", "change_id")
 
 
 @query("join_self_related", """
 SELECT a.l_orderkey, count(*) AS pairs, CAST(sum(CAST(b.l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS related_price
-FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey WHERE a.l_linenumber = 7 AND b.l_linenumber = 1 GROUP BY a.l_orderkey
+FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey WHERE a.l_linenumber <> 1 AND b.l_linenumber = 1 GROUP BY a.l_orderkey
 """)
 def join_self_related(t):
     # Both sides of the self-join are reduced to one row per order before they meet.
     line = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
-    sevens = line.filter(F.col("l_linenumber") == 7).groupBy("l_orderkey").agg(F.count("*").alias("n7"))
+    others = line.filter(F.col("l_linenumber") != 1).groupBy("l_orderkey").agg(F.count("*").alias("n"))
     ones = line.filter(F.col("l_linenumber") == 1).groupBy("l_orderkey").agg(F.count("*").alias("n1"), F.sum("price").alias("p1"))
-    return sevens.join(ones, "l_orderkey").select(
-        "l_orderkey", (F.col("n7") * F.col("n1")).alias("pairs"), (F.col("p1") * F.col("n7")).cast("double").alias("related_price")
+    return others.join(ones, "l_orderkey").select(
+        "l_orderkey", (F.col("n") * F.col("n1")).alias("pairs"), (F.col("p1") * F.col("n")).cast("double").alias("related_price")
     )
 
 
@@ -273,10 +275,10 @@ def join_semi_reduce(t):
 
 
 @query("join_hash_prefilter", """
-SELECT c_custkey, c_name FROM customer WHERE c_name IN (SELECT c_name FROM customer WHERE c_acctbal > 9000)
+SELECT c_custkey, c_name FROM customer WHERE c_name IN (SELECT c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
 """)
 def join_hash_prefilter(t):
-    wanted = t.customer.filter(F.col("c_acctbal") > 9000).select("c_name")
+    wanted = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_name")
     return jn.hashed_lookup(t.customer, wanted, "c_name").select("c_custkey", "c_name")
 
 

@@ -25,8 +25,7 @@ def doc_children(t):
         t.orders.select("o_orderkey"), _lines(t), "o_orderkey", ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "Lines"
     )
     text = F.array_join(F.transform("Lines", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",")
-    # Parts of a large parent would be merged here; usual parents have one.
-    return docs.groupBy("o_orderkey").agg(F.sum(F.coalesce(F.array_size("Lines"), F.lit(0))).alias("lines"), F.max(text).alias("keys"))
+    return docs.select("o_orderkey", F.coalesce(F.array_size("Lines"), F.lit(0)).cast("long").alias("lines"), text.alias("keys"))
 
 
 @query("doc_nested_struct", """
@@ -62,13 +61,11 @@ def doc_single(t):
 
 
 @query("doc_array", """
-SELECT c_nationkey, '[' || string_agg('{"Id":' || c_custkey || '}', ',' ORDER BY c_custkey) || ']' AS document FROM customer
-WHERE c_acctbal < 0 GROUP BY c_nationkey
+SELECT l_orderkey AS o_orderkey, '[' || string_agg('{"Id":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']' AS document FROM lineitem GROUP BY 1
 """)
 def doc_array(t):
-    poor = t.customer.filter(F.col("c_acctbal") < 0)
-    arrays = doc.child_arrays(poor, "c_nationkey", {"Id": "c_custkey"}, ["c_custkey"], "Accounts")
-    return arrays.select("c_nationkey", F.to_json("Accounts").alias("document"))
+    arrays = doc.child_arrays(_lines(t), "o_orderkey", {"Id": "l_partkey"}, ["l_linenumber", "l_partkey"], "Parts")
+    return arrays.select("o_orderkey", F.to_json("Parts").alias("document"))
 
 
 @query("doc_array_struct", """
@@ -79,17 +76,15 @@ def doc_array_struct(t):
 
 
 @query("doc_sibling_arrays", """
-WITH c AS (SELECT c_nationkey AS k, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS accounts FROM customer WHERE c_acctbal < -500 GROUP BY 1),
-     s AS (SELECT s_nationkey AS k, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS sellers FROM supplier GROUP BY 1)
-SELECT n_nationkey, accounts, sellers FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey
+WITH p AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1),
+     s AS (SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey, parts, returned FROM orders LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN s ON s.l_orderkey = o_orderkey
 """)
 def doc_sibling_arrays(t):
-    parent = t.nation.select("n_nationkey")
-    poor = t.customer.filter(F.col("c_acctbal") < -500).withColumnRenamed("c_nationkey", "n_nationkey")
-    accounts = doc.child_arrays(poor, "n_nationkey", {"Id": "c_custkey"}, ["c_custkey"], "Accounts")
-    sellers = doc.child_arrays(t.supplier.withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey", {"Id": "s_suppkey"}, ["s_suppkey"], "Sellers")
-    docs = doc.attach_children(parent, "n_nationkey", [accounts, sellers])
-    return docs.select("n_nationkey", _joined("Accounts", "Id").alias("accounts"), _joined("Sellers", "Id").alias("sellers"))
+    parts = doc.child_arrays(_lines(t), "o_orderkey", {"Id": "l_partkey"}, ["l_partkey"], "Parts")
+    returned = doc.child_arrays(_lines(t).filter(F.col("l_returnflag") == "R"), "o_orderkey", {"Id": "l_suppkey"}, ["l_suppkey"], "Returned")
+    docs = doc.attach_children(t.orders.select("o_orderkey"), "o_orderkey", [parts, returned])
+    return docs.select("o_orderkey", _joined("Parts", "Id").alias("parts"), _joined("Returned", "Id").alias("returned"))
 
 
 @query("doc_sorted_array", """
@@ -116,33 +111,29 @@ def doc_gated_child(t):
 
 
 @query("doc_three_level", """
-WITH n AS (SELECT n_regionkey, n_nationkey, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS sellers
-           FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)
-SELECT r_regionkey, string_agg(n_nationkey || '[' || coalesce(sellers, '') || ']', ';' ORDER BY n_nationkey) AS nations
-FROM region JOIN n ON n_regionkey = r_regionkey GROUP BY 1
+WITH f AS (SELECT l_orderkey, l_returnflag, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS lines FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey, string_agg(l_returnflag || '[' || lines || ']', ';' ORDER BY l_returnflag) AS flags
+FROM orders LEFT JOIN f ON l_orderkey = o_orderkey GROUP BY 1
 """)
 def doc_three_level(t):
-    sellers = t.supplier.withColumnRenamed("s_nationkey", "n_nationkey")
-    nations = doc.collect_children(t.nation, sellers, "n_nationkey", {"Id": "s_suppkey"}, ["s_suppkey"], "Sellers")
-    regions = doc.collect_children(
-        t.region.select("r_regionkey"), nations.withColumnRenamed("n_regionkey", "r_regionkey"), "r_regionkey",
-        {"Id": "n_nationkey", "Sellers": "Sellers"}, ["n_nationkey"], "Nations",
+    flags = doc.child_arrays(_lines(t), ["o_orderkey", "l_returnflag"], {"No": "l_linenumber"}, ["l_linenumber"], "Lines")
+    orders = doc.collect_children(
+        t.orders.select("o_orderkey"), flags, "o_orderkey", {"Flag": "l_returnflag", "Lines": "Lines"}, ["l_returnflag"], "Flags"
     )
-    text = F.transform(
-        "Nations", lambda n: F.concat(n["Id"].cast("string"), F.lit("["), F.coalesce(_joined(n["Sellers"], "Id"), F.lit("")), F.lit("]"))
-    )
-    return regions.select("r_regionkey", F.array_join(text, ";").alias("nations"))
+    text = F.transform("Flags", lambda f: F.concat(f["Flag"], F.lit("["), _joined(f["Lines"], "No"), F.lit("]")))
+    return orders.select("o_orderkey", F.array_join(text, ";").alias("flags"))
 
 
 @query("doc_exclude_self", """
-SELECT s.s_suppkey, (SELECT string_agg(CAST(o.s_suppkey AS VARCHAR), ',' ORDER BY o.s_suppkey) FROM supplier o
-   WHERE o.s_nationkey = s.s_nationkey AND o.s_suppkey % 3 = s.s_suppkey % 3 AND o.s_suppkey <> s.s_suppkey) AS others FROM supplier s
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT a.l_orderkey AS o_orderkey, a.l_linenumber, string_agg(CAST(b.l_linenumber AS VARCHAR), ',' ORDER BY b.l_linenumber) AS others
+FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber <> a.l_linenumber GROUP BY 1, 2
 """)
 def doc_exclude_self(t):
-    rows = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 3).alias("grp"))
-    siblings = doc.child_arrays(rows, ["s_nationkey", "grp"], {"Id": "s_suppkey"}, ["s_suppkey"], "All")
-    others = rows.join(siblings, ["s_nationkey", "grp"]).withColumn("Others", F.filter("All", lambda x: x["Id"] != F.col("s_suppkey")))
-    return others.select("s_suppkey", F.nullif(_joined("Others", "Id"), F.lit("")).alias("others"))
+    rows = _lines(t).select("o_orderkey", "l_linenumber").distinct()
+    siblings = doc.child_arrays(rows, "o_orderkey", {"No": "l_linenumber"}, ["l_linenumber"], "All")
+    others = rows.join(siblings, "o_orderkey").withColumn("Others", F.filter("All", lambda x: x["No"] != F.col("l_linenumber")))
+    return others.select("o_orderkey", "l_linenumber", F.nullif(_joined("Others", "No"), F.lit("")).alias("others"))
 
 
 @query("doc_audit_snapshot", """

@@ -24,12 +24,12 @@ def src_literal_rows(t):
 @query("src_date_spine", """
 WITH spine AS (
   SELECT DISTINCT e.user_id, CAST(e.ts AS DATE) + CAST(k.i AS INTEGER) AS d
-  FROM events e, (VALUES (-2), (-1), (0), (1), (2)) AS k(i) WHERE e.event_type = 'signup')
+  FROM events e, (VALUES (-2), (-1), (0), (1), (2)) AS k(i))
 SELECT user_id, d AS date, dayofweek(d) AS day_of_week FROM spine
 """)
 def src_date_spine(t):
-    signups = t.events.filter(F.col("event_type") == "signup").select("user_id", F.to_date("ts").alias("center")).distinct()
-    return src.date_spine(signups, "center", 2, 2).select("user_id", "date", "day_of_week").distinct()
+    active = t.events.select("user_id", F.to_date("ts").alias("center")).distinct()
+    return src.date_spine(active, "center", 2, 2).select("user_id", "date", "day_of_week").distinct()
 
 
 @query("topk_sample", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
@@ -46,10 +46,10 @@ def json_shred_events(t):
 
 
 @query("json_scalar_events", """
-SELECT event_id, user_id, value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) = 7
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id, value FROM events
 """)
 def json_scalar_events(t):
-    return t.events.filter(src.json_field("props", "k", "int") == 7).select("event_id", "user_id", "value")
+    return t.events.select("event_id", src.json_field("props", "k", "int").alias("k"), "user_id", "value")
 
 
 @query("proj_rename", """
