@@ -10,8 +10,9 @@ from turnstile.functions import scalars as X
 from turnstile.operators import joins as jn
 from turnstile.operators import merge as mg
 from turnstile.operators.windows import keep_first
+from turnstile.plans.documents import invoice_documents
 from turnstile.plans.payment_batch import _typed, shred
-from turnstile.sources.catalog import Catalog
+from turnstile.sources.catalog import Catalog, FrameCatalog
 from turnstile.sources.sinks import materialise
 
 # Fields of the two payloads.
@@ -66,6 +67,11 @@ def apply_invoice_batch(cat: Catalog, batch: DataFrame, user: str, as_of=None) -
     }
 
 
+def documents_after(cat: Catalog, result: dict[str, DataFrame]) -> DataFrame:
+    """Documents of the invoices concerned, from the tables that `apply_invoice_batch` left behind."""
+    return invoice_documents(FrameCatalog(cat.spark, result, cat), result["requests"].select("invoice_header_id").distinct())
+
+
 def void_unpaid(mine: DataFrame, paid: DataFrame, now, user: str) -> tuple[DataFrame, DataFrame]:
     """Void active lines without an active allocation, then the allocations of every voided line."""
     live = F.col("payment_invoice_detail_status_id") == codes.STATUS_ACTIVE

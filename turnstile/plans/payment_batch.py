@@ -9,7 +9,8 @@ from turnstile import codes
 from turnstile.functions import scalars as X
 from turnstile.operators import merge as mg
 from turnstile.operators.windows import keep_first
-from turnstile.sources.catalog import Catalog, snake
+from turnstile.plans.documents import payment_documents
+from turnstile.sources.catalog import Catalog, FrameCatalog, snake
 from turnstile.sources.rows import parse_json_rows
 
 # Fields of the three payloads.
@@ -76,6 +77,11 @@ def apply_payment_batch(cat: Catalog, batch: DataFrame, user: str, as_of=None) -
     }
 
 
+def documents_after(cat: Catalog, result: dict[str, DataFrame]) -> DataFrame:
+    """Documents of the payments concerned, from the tables that `apply_payment_batch` left behind."""
+    return payment_documents(FrameCatalog(cat.spark, result, cat), result["requests"].select("payment_id").distinct())
+
+
 def reconcile_fee_totals(payments: DataFrame, fees: DataFrame, touched: DataFrame) -> DataFrame:
     """Raise the stored fee total of touched payments to the sum of their fee rows, never lower it."""
     sums = fees.join(touched.select("payment_id").distinct(), "payment_id", "left_semi").groupBy(F.col("payment_id").alias("id")).agg(

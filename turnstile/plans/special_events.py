@@ -9,8 +9,10 @@ from turnstile import codes
 from turnstile.functions import scalars as X
 from turnstile.operators import filters as flt
 from turnstile.operators import merge as mg
+from turnstile.plans.audit import booking_audit
+from turnstile.plans.documents import special_event_documents
 from turnstile.plans.payment_batch import _typed, shred
-from turnstile.sources.catalog import Catalog
+from turnstile.sources.catalog import Catalog, FrameCatalog
 from turnstile.sources.sinks import materialise
 
 # Fields of the three payloads.
@@ -75,7 +77,7 @@ def withdraw_items(cat: Catalog, bookings: DataFrame, now: Column, user: str, wi
 
 
 def apply_special_event_batch(cat: Catalog, batch: DataFrame, user: str, as_of=None) -> dict[str, DataFrame]:
-    """New table versions, (request_id, booking_id) and rejected requests.
+    """New table versions, audit rows of the accepted bookings to append, (request_id, booking_id) and rejected requests.
 
     `batch`: request_id, booking_id (null for a new one), row_ver, is_tax_exempt, and booking,
     special_event, items as JSON text.
@@ -136,7 +138,14 @@ def apply_special_event_batch(cat: Catalog, batch: DataFrame, user: str, as_of=N
         "is_taxable", F.coalesce(~F.col("__exempt"), F.col("is_taxable"))
     ).select(*fees.columns)
     new_fees = retaxed.join(free, "booking_id", "left_anti").select(*fees.columns).unionByName(_typed(mg.with_new_ids(added, fees, ["booking_id", "product_fee_id"]), fees))
-    return {
+    tables = {
         "booking.Booking": new_bookings, "booking.ScheduleDetails": new_slots, "booking.BookingSpecialEvent": new_special, "booking.BookingItem": new_items, "booking.BookingFee": new_fees,
-        "invoice.InvoiceDetail": details, "invoice.PaymentInvoiceDetail": allocations, "requests": made, "rejected": rejected,
+        "invoice.InvoiceDetail": details, "invoice.PaymentInvoiceDetail": allocations,
     }
+    audit = booking_audit(FrameCatalog(cat.spark, tables, cat), made.select("booking_id").distinct(), user, as_of)
+    return {**tables, "booking.BookingAudit": audit, "requests": made, "rejected": rejected}
+
+
+def documents_after(cat: Catalog, result: dict[str, DataFrame]) -> DataFrame:
+    """Documents of the accepted bookings, from the tables that `apply_special_event_batch` left behind."""
+    return special_event_documents(FrameCatalog(cat.spark, result, cat), result["requests"].select("booking_id").distinct())

@@ -41,7 +41,7 @@ f AS (SELECT payment_id, sum(unit_principle + unit_tax) AS total, sum(CASE WHEN
 c AS (SELECT r.*, CASE WHEN r.with_fees THEN CASE WHEN r.changed THEN coalesce(f.total, 0) - coalesce(f.first, 0) ELSE 0 END + 4 WHEN r.changed THEN f.total END AS fee_sum FROM r LEFT JOIN f ON f.payment_id = r.k)
 SELECT p.external_id, CAST(p.amount AS DOUBLE) AS amount, p.payment_status_id, p.failure_message, p.invoice_header_id, CAST(p.application_fee_total AS DOUBLE) AS application_fee_total FROM invoice_payment p WHERE p.id NOT IN (SELECT k FROM r WHERE changed)
 UNION ALL SELECT 'new_' || k, CAST(amount AS DOUBLE), 3, failure, k, CAST(CASE WHEN stated < fee_sum THEN fee_sum ELSE stated END AS DOUBLE) FROM c WHERE changed
-UNION ALL SELECT 'new_' || k, CAST(amount AS DOUBLE), 3, NULL, k, CAST(CASE WHEN stated < fee_sum THEN fee_sum ELSE stated END AS DOUBLE) FROM c WHERE NOT changed""".replace("3, NULL, k", "3, failure, k")))
+UNION ALL SELECT 'new_' || k, CAST(amount AS DOUBLE), 3, failure, k, CAST(CASE WHEN stated < fee_sum THEN fee_sum ELSE stated END AS DOUBLE) FROM c WHERE NOT changed"""))
 def apply_payments(t):
     tables = payment_batch.apply_payment_batch(catalog(t), payment_requests(t), "batch", AS_OF)
     rows = tables["invoice.Payment"].select("external_id", "amount", "payment_status_id", "failure_message", "invoice_header_id", "application_fee_total")
@@ -58,6 +58,24 @@ def apply_payment_fees(t):
     return plain(tables["invoice.ApplicationFeeDetail"].select("payment_id", "application_fee_type_id", "unit_principle"), "unit_principle")
 
 
+@query("apply_payment_documents", with_tables("""WITH r AS (SELECT p.id, p.invoice_header_id AS h FROM orders JOIN invoice_payment p ON p.id = o_orderkey WHERE o_orderkey % 10 = 4),
+t(type, amount) AS (VALUES (1, 2.5), (9, 1.0)),
+fee AS (SELECT payment_id, application_fee_type_id AS type, CASE WHEN application_fee_type_id = 1 AND payment_id % 3 <> 0 THEN 2.5 ELSE CAST(unit_principle AS DOUBLE) END AS amount FROM invoice_application_fee_detail JOIN r ON r.id = payment_id
+   UNION ALL SELECT r.id, t.type, t.amount FROM r CROSS JOIN t WHERE r.id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM invoice_application_fee_detail f WHERE f.payment_id = r.id AND f.application_fee_type_id = t.type))
+SELECT r.id AS payment_id, 'new_' || r.id AS external_id, 3 AS status, k.brand_id, (SELECT count(*) FROM fee WHERE fee.payment_id = r.id) AS fees, CAST(coalesce((SELECT sum(amount) FROM fee WHERE fee.payment_id = r.id), 0) AS DOUBLE) AS fee_principle
+FROM r LEFT JOIN invoice_invoice_header i ON i.id = r.h LEFT JOIN park_park k ON k.id = i.location_id"""))
+def apply_payment_documents(t):
+    """Documents of changed payments, read from what the batch left behind."""
+    cat = catalog(t)
+    result = payment_batch.apply_payment_batch(cat, payment_requests(t).filter(F.col("payment_id").isNotNull()), "batch", AS_OF)
+    docs = payment_batch.documents_after(cat, result)
+    total = F.aggregate("ApplicationFeeDetails", F.lit(0).cast("double"), lambda acc, f: acc + f["UnitPrinciple"].cast("double"))
+    return docs.select(
+        "payment_id", F.col("ExternalId").alias("external_id"), F.col("PaymentStatusId").alias("status"), F.col("InvoiceHeader.Location.Brand.Id").alias("brand_id"),
+        F.coalesce(F.array_size("ApplicationFeeDetails"), F.lit(0)).cast("long").alias("fees"), F.coalesce(total, F.lit(0.0)).alias("fee_principle"),
+    )
+
+
 # --- invoices -----------------------------------------------------------------------------------------
 
 def invoice_requests(t):
@@ -159,6 +177,22 @@ def apply_special_event_fees(t):
     return plain(fees.select(F.when(F.col("fresh").isNull(), F.col("booking_id")).alias("booking_id"), "product_fee_id", "price", "is_taxable"), "price")
 
 
+@query("apply_special_event_audit", with_tables(f"""WITH {ADMIT},
+x AS (SELECT booking_id, sum(CASE WHEN participant_type_id IN (2, 3) THEN price * count END) AS extra FROM booking_booking_participant GROUP BY 1)
+SELECT CASE WHEN ok.known THEN ok.k END AS booking_id, CAST(coalesce(bp.price, CASE WHEN NOT ok.known OR e.booking_id IS NOT NULL THEN ok.base END, 0) AS DOUBLE) AS package_price,
+  CAST(coalesce(r.price, 0) AS DOUBLE) AS resource_price, CAST(coalesce(x.extra, 0) AS DOUBLE) AS participant_total, CAST(12 AS DOUBLE) AS addon_total, 'batch' AS created_by
+FROM ok LEFT JOIN booking_booking_participant bp ON ok.known AND bp.booking_id = ok.k AND bp.participant_type_id = 1 LEFT JOIN booking_booking_resource r ON ok.known AND r.booking_id = ok.k
+LEFT JOIN booking_booking_special_event e ON ok.known AND e.booking_id = ok.k LEFT JOIN x ON ok.known AND x.booking_id = ok.k"""))
+def apply_special_event_audit(t):
+    """Audit rows of the batch; ids of new bookings are assigned, so they are not compared. Booking 0 stands for a new one."""
+    requests = event_requests(t)
+    result = special_events.apply_special_event_batch(catalog(t), requests, "batch", AS_OF)
+    known = result["requests"].join(requests.filter(F.col("booking_id") > 0).select("request_id"), "request_id", "left_semi").select("booking_id", F.lit(True).alias("known"))
+    totals = ["package_price", "resource_price", "participant_total", "addon_total"]
+    rows = result["booking.BookingAudit"].join(known, "booking_id", "left")
+    return plain(rows.select(F.when(F.col("known"), F.col("booking_id")).alias("booking_id"), *totals, "created_by"), *totals)
+
+
 # --- carts --------------------------------------------------------------------------------------------
 
 def cart_requests(t):
