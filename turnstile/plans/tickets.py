@@ -41,10 +41,7 @@ def tickets_today(cat: Catalog, requests: DataFrame, as_of=None) -> tuple[DataFr
     redeemed = mine.join(redemptions, "subscription_id").join(headers, ["invoice_header_id", "location_id"])
     # A purchase counts only for a subscription that was never redeemed.
     bought = mine.join(redemptions, "subscription_id", "left_anti").join(details, "subscription_id").join(headers, ["invoice_header_id", "location_id"])
-    arms = [
-        redeemed.filter(F.to_date("modified_date") == F.col("today")), redeemed.filter(F.col("created_day") == F.col("today")),
-        bought.filter(F.col("created_day") == F.col("today")),
-    ]
+    arms = [redeemed.filter((F.to_date("modified_date") == F.col("today")) | (F.col("created_day") == F.col("today"))), bought.filter(F.col("created_day") == F.col("today"))]
     qualified = reduce(DataFrame.unionByName, [a.select("request_id", "subscription_id", "ticket_id") for a in arms]).distinct()
     levels = cat.table("prdct.ProductLevel", "id", "web_color").toDF("product_level_id", "color").withColumn("level_id", F.col("product_level_id"))
     tickets = cat.table("product.Ticket", "id", "name", "product_level_id").toDF("ticket_id", "name", "product_level_id").join(levels, "product_level_id", "left").select(
