@@ -186,6 +186,21 @@ def test_invoice_batch(spark):
     assert values(out["invoice.PaymentInvoiceDetail"].filter("payment_invoice_detail_status_id = 2"), "id") == [(4,)]
 
 
+def test_batches_with_equal_request_ids_make_different_lines(spark, sf):
+    cat = DerivedCatalog.of(spark, sf)
+    one, two = [r["id"] for r in cat.table("invoice.InvoiceHeader").filter("id > 0").orderBy("id").limit(2).collect()]
+    schema = "request_id int, invoice_header_id long, header string, details string"
+    sent = lambda invoice, name: spark.createDataFrame([(1, invoice, json.dumps({"InvoiceStatusId": 5}), json.dumps([{"Id": "1", "Description": "new", "ExternalId": name, "Quantity": 1}]))], schema)
+    first = invoice_batch.apply_invoice_batch(cat, sent(one, "fresh-a"), "me", AS_OF)
+    after = catalog.FrameCatalog(spark, first, cat)
+    second = invoice_batch.apply_invoice_batch(after, sent(two, "fresh-b"), "me", AS_OF)
+    made = second["invoice.InvoiceDetail"].filter("external_id like 'fresh-%'")
+    assert values(made, "invoice_header_id", "external_id") == [(one, "fresh-a"), (two, "fresh-b")]
+    assert made.select("id").distinct().count() == 2
+    docs = invoice_batch.documents_after(after, second).select("invoice_header_id", F.transform("InvoiceDetails", lambda d: d["Description"]).alias("lines")).collect()
+    assert [r["invoice_header_id"] for r in docs] in ([two], []) and all("new" in r["lines"] for r in docs)
+
+
 # --- carts ----------------------------------------------------------------------------------------------
 
 def test_known_bookings_keep_prices_and_lose_old_items(spark, sf):
