@@ -113,6 +113,53 @@ def test_decontamination(spark, shared, odd, none):
     assert decontaminate.keep_clean(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_is_smith_waterman_of_every_pair(spark, shared):
+    """Exact and edited copies of one item together, edits at even and at random places, and chance hits."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("sun moon tide rock wind fire".split()) + str(rng.randrange(30))
+    items = [[word() for _ in range(m)] for m in (40, 40, 20, 15, 59, 6, 3, 1)] + [["of", "the"] * 8]
+
+    def edited(item, places):
+        out = []
+        for i, w in enumerate(item):
+            out += [w] if i not in places else rng.choice([["replaced"], [], [w, "extra"]])
+        return out
+
+    texts = [[w if i % 8 != 4 else "other" for i, w in enumerate(items[0])], [w if i % 4 != 3 else "other" for i, w in enumerate(items[0])]]
+    for item in items:
+        texts.append(["before", *item, "after"])
+        for _ in range(12):
+            places = rng.sample(range(len(item)), rng.randint(0, max(1, len(item) // 3)))
+            texts.append([word() for _ in range(rng.randrange(30))] + edited(item, places) + [word() for _ in range(rng.randrange(30))])
+    want = {}
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            above, best = [0] * (len(text) + 1), 0
+            for x in item:
+                row = [0]
+                for j, y in enumerate(text):
+                    row.append(max(0, above[j] + (1 if x == y else -1), above[j + 1] - 1, row[j] - 1))
+                best, above = max(best, *row), row
+            if best >= max(0.5 * len(item), min(4, len(item))):
+                want[d, k] = best / len(item)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert {(0, 0), (1, 0)} <= set(want) and {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want
+    for r in found:
+        assert 0 <= r["start_word"] < r["end_word"] <= len(texts[r["doc_id"]])
+
+
+def test_decontamination_counts_rare_seeds_where_items_share_most(spark, shared):
+    """More items than COMMON_ITEMS begin with one stock phrase; an edited copy of each is found, the phrase alone is not."""
+    stock = [f"stock{i}" for i in range(12)]
+    items = [stock + [f"own{k}x{i}" for i in range(18)] for k in range(40)]
+    texts = [[w if i % 7 != 6 else "other" for i, w in enumerate(t)] for t in items] + [stock]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(k, k) for k in range(40)}
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(4)
     for _ in range(40):

@@ -1,21 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
 Words are lower-case runs of word characters. The benchmark is taken in blocks of bounded size (`BLOCK_WORDS`); one
 block at a time is sent to the executors, and every document is read once against it:
 
-1. Each document's n-grams are looked up among the block's. Documents with a hit are staged with their hits, and the
-   hits give every n-gram's document count over the whole corpus.
-2. An item's seeds are the rarer half of its n-grams. A share and not a limit: an item that leaked into many
-   documents, all of whose n-grams are frequent, keeps its seeds.
-3. Where `MIN_SEEDS` seeds of an item (one, for items with fewer than four seeds) hit one stretch of a document, that
-   stretch is aligned with the item: one for an equal word, minus one for a replaced, extra or missing word. The best
-   local score over the item's words must reach `threshold`; half a score bears edits in one word of four.
+1. A document and an item of m words match where the best local alignment scores `threshold` times m or more, and at
+   least `n` or, for shorter items, m: one for an equal word, minus one for a replaced, extra or missing word. Half a
+   score bears edits in one word of four.
+2. Seeds are the item's pairs of neighbouring words. An alignment with M equal words and E edits has M - E or more of the
+   score s and at most E + 1 runs of equal words, so it holds at least M - E - 1 >= s - 1 of the pairs, within 2 m - s
+   words: every alignment that can reach the score has so many seeds, whatever other copies of the item there are.
+3. Pairs that many items share (`COMMON_ITEMS`) are not looked up, up to half of the pairs asked for, and so many fewer
+   are asked for. Where a document's stretch holds enough seeds of an item, it is aligned with the item.
 
 Result: doc_id, item_id, score, start_word, end_word (word numbers in the document, end exclusive) of every pair found.
 
-Edge cases: null, empty and wordless texts or items match nothing; items shorter than `n` words are one n-gram of all
-their words; repeated documents give repeated rows, repeated items their own rows each; an empty benchmark gives an
-empty result; other columns are not read.
+Edge cases: null, empty and wordless texts or items match nothing; items shorter than `n` words match only whole;
+repeated documents give repeated rows, repeated items their own rows each; an empty benchmark gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from pyspark.sql import types as T
 
 from turnstile.llm.common import maybe_in, staged
 
-NGRAM, THRESHOLD, MIN_SEEDS = 4, 0.5, 2
+#: Least score of a match, and its least share of the item's words.
+NGRAM, THRESHOLD = 4, 0.5
+#: Items that may share a word pair before it counts as common.
+COMMON_ITEMS = 16
 #: Words of the benchmark held by an executor at a time, about 50 MB with the look-up tables.
 BLOCK_WORDS = 500_000
 WORD = re.compile(r"\w+")
@@ -97,27 +101,40 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
 class Block:
     """Look-up tables of one block of items."""
 
-    def __init__(self, items: list[tuple], n: int):
+    def __init__(self, items: list[tuple], n: int, threshold: float):
         hashes = _WordHashes()
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(t or "", hashes) for _, t in items]
-        grams, item, place = [], [], []
-        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
+        m = np.array([len(w) for w in self.words], dtype=np.int64)
+        #: Least score, words that an alignment of that score can span, and seeds that it must hold.
+        self.least = np.array([max(math.ceil(threshold * k), min(n, k), 1) for k in m.tolist()], dtype=np.int64)
+        self.span = np.maximum(2 * m - self.least, 1)
+        self.need = np.maximum(self.least - 1, 1)
+        grams, item = [], []
         for k, w in enumerate(self.words):
-            if len(w):
-                g = grams_of(w, min(n, len(w)))
-                grams.append(g), item.append(np.full(len(g), k)), place.append(np.arange(len(g)))
+            g = grams_of(w, min(2, int(self.least[k])))
+            grams.append(g), item.append(np.full(len(g), k))
         flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
+        item = np.concatenate(item) if item else np.empty(0, np.int64)
+        self.sizes = sorted({min(2, int(s)) for s, k in zip(self.least, m, strict=True) if k})
+        # How many items share each seed; the most shared ones of an item stay out.
+        known, column = np.unique(flat, return_inverse=True)
+        pairs = np.unique(np.stack([column, item]), axis=1) if len(flat) else np.empty((2, 0), np.int64)
+        shared = np.bincount(pairs[0], minlength=len(known))[column]
+        order = np.lexsort((-shared, item))
+        rank = np.empty(len(flat), np.int64)
+        rank[order] = np.arange(len(flat)) - np.searchsorted(item[order], item[order], "left")
+        out = (shared > COMMON_ITEMS) & (rank < self.need[item] // 2)
+        self.need -= np.bincount(item[out], minlength=len(m))
+        flat, item = flat[~out], item[~out]
         order = np.argsort(flat, kind="stable")
-        self.grams = flat[order]
-        self.item = np.concatenate(item)[order] if item else np.empty(0, int)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, int)
+        self.grams, self.item = flat[order], item[order]
         self.known = np.unique(self.grams)
         self.low = np.zeros(1 << 20, bool)
         self.low[self.known & 0xFFFFF] = True
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, n-gram) of every n-gram of the block in a text."""
+        """(place in the text, seed) of every seed of the block in a text."""
         at, found = [], []
         for n in self.sizes:
             g = grams_of(w, n)
@@ -127,74 +144,42 @@ class Block:
             at.append(p), found.append(g[p])
         return (np.concatenate(at), np.concatenate(found)) if at else (np.empty(0, int), np.empty(0, np.int64))
 
-    def seeds(self, counts: dict[int, int]) -> np.ndarray:
-        """Marks the entries of `grams` that are among the rarer half of their item's."""
-        seed = np.zeros(len(self.grams), bool)
-        count = np.array([counts.get(g, 0) for g in self.grams.tolist()], dtype=np.int64)
-        # N-grams that no document has cannot hit and leave their place to others.
-        order = np.lexsort((self.place, np.where(count == 0, np.iinfo(np.int64).max, count), self.item))
-        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1) if len(order) else []:
-            there = own[count[own] > 0]
-            seed[there[: math.ceil(len(there) / 2)]] = True
-        return seed
-
-    def matches(self, w: np.ndarray, seed: np.ndarray, seeds_of: np.ndarray, threshold: float, min_seeds: int) -> Iterator[tuple]:
+    def matches(self, w: np.ndarray) -> Iterator[tuple]:
         """(item number, score, start, end) of every item found in a text."""
         at, found = self.hits(w)
+        if not len(at):
+            return
         low, high = np.searchsorted(self.grams, found, "left"), np.searchsorted(self.grams, found, "right")
-        # Every hit with every item that has the n-gram.
+        # Every hit with every item that has the seed.
         times = high - low
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(at) else np.empty(0, int)
-        place = np.repeat(at, times)[seed[entry]]
-        entry = entry[seed[entry]]
-        order = np.lexsort((place, self.item[entry]))
-        entry, place = entry[order], place[order]
-        for own in np.split(np.arange(len(entry)), np.flatnonzero(np.diff(self.item[entry])) + 1) if len(entry) else []:
-            k = int(self.item[entry[own[0]]])
-            item = self.words[k]
-            slack = max(4, len(item) // 4)
-            start = place[own] - self.place[entry[own]] - slack
-            start, end = np.maximum(np.sort(start), 0), np.minimum(np.sort(start) + len(item) + 2 * slack, len(w))
-            # Stretches that overlap are aligned as one.
-            new = np.flatnonzero(start[1:] > np.maximum.accumulate(end)[:-1]) + 1
+        entry = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        # Items are numbered so far apart that a span reaches no other item's places.
+        apart = len(w) + int(self.span.max()) + 1
+        key = np.sort(self.item[entry] * apart + np.repeat(at, times))
+        item = key // apart
+        enough = np.searchsorted(key, key + self.span[item], "left") - np.arange(len(key)) >= self.need[item]
+        key, item = key[enough], item[enough]
+        for own in np.split(np.arange(len(key)), np.flatnonzero(np.diff(item)) + 1) if len(key) else []:
+            k = int(item[own[0]])
+            place, span = key[own] - k * apart, int(self.span[k])
             best = (0, 0, 0)
-            for stretch in np.split(np.arange(len(own)), new):
-                if len(stretch) < min(min_seeds, max(1, int(seeds_of[k]) // 2)):
-                    continue
-                a, b = int(start[stretch[0]]), int(end[stretch].max())
-                score, s, e = align(item, w[a:b])
+            # Stretches that overlap are aligned as one.
+            for stretch in np.split(place, np.flatnonzero(np.diff(place) > 2 * span) + 1):
+                a = max(0, int(stretch[0]) - span)
+                score, s, e = align(self.words[k], w[a : int(stretch[-1]) + span])
                 if score > best[0]:
                     best = (score, a + s, a + e)
-            if best[0] >= threshold * len(item):
-                yield (k, best[0] / len(item), best[1], best[2])
-
-
-def _scan(block, n: int):
-    """Documents with a hit: their text and the distinct n-grams hit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = Block(block.value, n), _WordHashes()
-        for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                _, grams = table.hits(word_hashes(text, hashes))
-                if len(grams):
-                    rows.append(i), found.append(np.unique(grams))
-            if rows:
-                out = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([out.column("doc_id"), out.column("text"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "grams"])
-
-    return run
+            if best[0] >= self.least[k]:
+                yield (k, best[0] / len(self.words[k]), best[1], best[2])
 
 
-def _aligned(block, seeds, n: int, threshold: float, min_seeds: int):
+def _aligned(block, n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes, seed = Block(block.value, n), _WordHashes(), seeds.value
-        seeds_of = np.bincount(table.item[seed], minlength=len(table.words))
+        table, hashes = Block(block.value, n, threshold), _WordHashes()
         for batch in batches:
             rows, found = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for match in table.matches(word_hashes(text, hashes), seed, seeds_of, threshold, min_seeds):
+                for match in table.matches(word_hashes(text, hashes)):
                     rows.append(i), found.append(match)
             if rows:
                 k, score, start, end = zip(*found, strict=True)
@@ -206,7 +191,7 @@ def _aligned(block, seeds, n: int, threshold: float, min_seeds: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of every document that holds a benchmark item or an edited copy of it."""
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
@@ -220,16 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
         if not own:
             continue
-        table = Block(own, n)
         sent = spark.sparkContext.broadcast(own)
-        scan_schema = T.StructType([T.StructField("doc_id", doc_type)]).add("text", "string").add("grams", T.ArrayType(T.LongType()))
-        hit = staged(corpus.mapInArrow(_scan(sent, n), scan_schema), "leak-candidates")
-        counts = {r["g"]: r["c"] for r in hit.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("c")).collect()}
-        seed = table.seeds(counts)
-        seeds = spark.sparkContext.broadcast(seed)
         schema = T.StructType([T.StructField("doc_id", doc_type)]).add("k", "integer").add("score", "double").add("start_word", "long").add("end_word", "long")
-        found = hit.mapInArrow(_aligned(sent, seeds, n, threshold, min_seeds), schema)
-        names = spark.createDataFrame([(k, i) for k, i in enumerate(table.ids)], T.StructType().add("k", "integer").add(T.StructField("item_id", item_type)))
+        found = corpus.mapInArrow(_aligned(sent, n, threshold), schema)
+        names = spark.createDataFrame([(k, i) for k, i in enumerate(i for i, _ in own)], T.StructType().add("k", "integer").add(T.StructField("item_id", item_type)))
         out = out.unionByName(found.join(names, "k").select("doc_id", "item_id", "score", "start_word", "end_word"))
     return out
 
