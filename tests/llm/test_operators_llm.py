@@ -83,6 +83,27 @@ def test_ngram_classes(odd, none, spark):
     assert ngram_join.classed(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_every_link_of_a_class_is_counted(spark, shared, monkeypatch, block):
+    """Classes of many different texts, with repeated rows and copies, against the sets of every pair."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    rng = random.Random(6)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(200)]
+        for k in range(40):
+            text = list(base)
+            for at in rng.sample(range(200), rng.randint(1, 4)):
+                text[at] = f"edit{c}x{k}x{at}"
+            rows.append((100 * c + k, " ".join(text)))
+    rows += [rows[0], (900, rows[1][1]), (901, "w " * 30)]
+    sets = {t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows}
+    want = {d: sum(x != t and len(sets[x] & sets[t]) >= 0.8 * len(sets[x] | sets[t]) for x in sets) for d, t in rows}
+    assert 30 < max(want.values()) and len(set(want.values())) > 3
+    got = ngram_join.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["n_links"] for r in got} == want
+
+
 def test_links_across_blocks():
     sets = [np.arange(0, 100), np.arange(5, 105), np.arange(50, 150), np.arange(1, 101)]
     assert sorted(ngram_join.links_across([0, 1, 2, 0], sets, 0.8)) in ([(1, 0), (1, 3)], [(0, 1), (1, 0), (1, 3), (3, 1)])

@@ -10,12 +10,14 @@ more; a class is what links hold together, named by its least document id.
    gives one pair a document, and the distinct pairs are verified on the full n-gram sets.
 4. Links so found make components. Where a bucket still holds several components, all its documents are compared across
    them on their n-gram sets, in blocks of bounded size by products of set matrices that give back the links only: no
-   candidate pair is left out unless its two documents are linked already, and none is written down unless it is a link.
+   candidate pair is left out unless its two documents are in one class already, and none is written down unless it is a link.
+5. Links of each representative: a class whose pairs are all links has them counted already; in the others every two
+   members are compared by the same products, which give back a number for each document and no pairs.
 
-Links are stored between representatives; copies are never expanded into pairs.
+Links are between representatives; copies are never expanded into pairs.
 
-Result: doc_id, class_id, n_links: verified links that the join holds for the document's text (pairs that are connected
-already are not compared again), and copies: documents with the same text.
+Result: doc_id, class_id, n_links: texts of the class, other than the document's own, that are similar enough to it, and
+copies: documents with the same text.
 
 Edge cases: null, empty and blank texts have no n-grams, are their own class and have no links; a null doc_id makes a
 row of its own without links; rows that repeat an id with the same text count as copies; other columns are not read.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.llm.common import maybe_in, staged
@@ -190,6 +192,63 @@ def _blocks(n: int, threshold: float):
     return run
 
 
+def counts_of_links(docs: list[int], sides: list[bool], grams: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of a block with links, and how many: those between its two sides or, where all are on one, among them."""
+    side, sizes = np.array(sides), np.array([len(g) for g in grams])
+    left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() and not side.all() else (np.arange(len(docs)),) * 2
+    known, column = np.unique(np.concatenate(grams), return_inverse=True)
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    shared = np.bincount(column, minlength=len(known)) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(shared.sum()), 2048):
+        here = slice(*np.searchsorted(column, [first, first + 2048]))
+        part = np.zeros((len(docs), 2048), np.float32)
+        part[owner[here], column[here] - first] = 1
+        both += part[left] @ part[right].T
+    ids, number = np.unique(np.array(docs, np.int64), return_inverse=True)
+    linked = (both >= threshold * (sizes[left, None] + sizes[None, right] - both)) & (number[left, None] != number[None, right])
+    if len(ids) < len(docs):
+        # Rows that repeat an id are one document.
+        i, j = np.nonzero(linked)
+        i, j = np.unique(np.stack([number[left[i]], number[right[j]]]), axis=1)
+        counts = np.bincount(i, minlength=len(ids)) + (np.bincount(j, minlength=len(ids)) if left is not right else 0)
+    else:
+        counts = np.zeros(len(ids), np.int64)
+        counts[number[left]] = linked.sum(axis=1)
+        if left is not right:
+            counts[number[right]] = linked.sum(axis=0)
+    return ids[counts > 0], counts[counts > 0]
+
+
+def _counted(n: int, threshold: float):
+    """Rows sorted by (root, low, high): the links of each such block's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, docs, sides, grams = _WordHashes(), None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            ids, counts = counts_of_links(docs, sides, grams, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts, pa.int64())], ["rep", "n_links"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high")), strict=True)
+            texts = batch.column("text")
+            for i, (block, doc, own) in enumerate(zip(keys, batch.column("doc").to_pylist(), batch.column("own").to_pylist(), strict=True)):
+                if block != key:
+                    if len(docs) > 1:
+                        yield found()
+                    key, docs, sides, grams = block, [], [], []
+                docs.append(doc), sides.append(own == block[1]), grams.append(shingles(texts[i].as_py(), n, hashes))
+        if len(docs) > 1:
+            yield found()
+
+    return run
+
+
 def _shared(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The rows of the keys under which at least two values stand."""
     groups = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low != high")
@@ -207,10 +266,27 @@ def _verified(pairs: DataFrame, worded: DataFrame, n: int, threshold: float) ->
     return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(n, threshold), "a long, b long"), "ngram-links")
 
 
-def links_and_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """copies (doc, rep) of every document with words; links (a, b) between reps; classes (node, root) of linked reps."""
+def _worded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"\S"))
+
+
+def _parts(size: Column, rows: Column) -> Column:
+    """Number of parts that blocks of bounded size ask for."""
+    return F.ceil(F.greatest(size / BLOCK_GRAMS, rows / BLOCK_DOCS)).cast("int")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Adds own, low and high: documents dealt out in `parts` parts, and every two parts meet once."""
+    df = df.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return df.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+
+def links_and_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """copies (doc, rep) of every document with words; links (a, b) between reps, enough for the classes (node, root) of
+    linked reps; sizes (doc, size) of the n-gram sets of all in classes."""
     bands, rows = choose_bands(threshold, recall)
-    worded = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"\S"))
+    worded = _worded(docs, doc_id, text)
     hashed = staged(worded.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")), "ngram-texts")
     least = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
     copies = staged(hashed.join(least, ["h1", "h2"]).select("doc", "rep").distinct(), "ngram-copies")
@@ -227,25 +303,43 @@ def links_and_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     rooted = met.drop("low", "high").join(classes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     open_ = staged(_shared(rooted, "band", "root").drop("low", "high"), "ngram-open")
-    # A bucket is dealt out in blocks of bounded size, and every two of its blocks meet once.
-    parts = open_.groupBy("band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_GRAMS, F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
-    dealt = open_.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "doc", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    parts = open_.groupBy("band").agg(_parts(F.sum("size"), F.count("*")).alias("parts"))
+    dealt = _dealt(open_.join(parts, "band")).select("band", "doc", "root", "low", "high")
     used = maybe_in(worded, F.xxhash64("doc"), open_, F.xxhash64("doc"))
     filled = dealt.join(used, "doc").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "doc")
     more = staged(filled.select("band", "low", "high", "doc", "root", "text").mapInArrow(_blocks(n, threshold), "a long, b long"), "ngram-links")
     links = links.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = staged(links, "ngram-all-links")
-    return copies, links, staged(components(links), "ngram-classes")
+    return copies, links, staged(components(links), "ngram-classes"), met.groupBy("doc").agg(F.max("size").alias("size"))
+
+
+def link_counts(worded: DataFrame, links: DataFrame, classes: DataFrame, sizes: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """rep, n_links: how many members of its class are similar enough to each."""
+    joined = links.join(classes.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.count("*").alias("known"))
+    members = staged(classes.withColumnRenamed("node", "doc").join(sizes, "doc"), "ngram-members")
+    totals = members.groupBy("root").agg(F.count("*").alias("n"), _parts(F.sum("size"), F.count("*")).alias("parts"))
+    each = staged(members.join(totals.join(joined, "root"), "root"), "ngram-totals")
+    whole = F.col("known") == F.expr("n * (n - 1) div 2")
+    open_ = each.where(~whole).select("root", "doc", "parts")
+    used = maybe_in(worded, F.xxhash64("doc"), open_, F.xxhash64("doc"))
+    filled = _dealt(open_).join(used, "doc").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "doc")
+    counted = filled.select("root", "low", "high", "own", "doc", "text").mapInArrow(_counted(n, threshold), "rep long, n_links long")
+    counted = counted.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    return staged(counted.unionByName(each.where(whole).select(F.col("doc").alias("rep"), (F.col("n") - 1).alias("n_links"))), "ngram-counts")
+
+
+def _class_of(copies: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc, rep and root, the least id of the class, for every row of copies."""
+    return copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "rep", F.coalesce("root", "rep").alias("root"))
 
 
 def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, copies: a row for each row of docs."""
-    copies, links, classes = links_and_classes(docs, doc_id, text, n, threshold, recall)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    copies, links, classes, sizes = links_and_classes(docs, doc_id, text, n, threshold, recall)
+    degree = link_counts(_worded(docs, doc_id, text), links, classes, sizes, n, threshold)
     size = copies.groupBy("rep").agg(F.count("*").alias("copies"))
-    known = copies.join(size, "rep").join(degree, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.groupBy("doc").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.max("copies").alias("copies"))
+    known = _class_of(copies, classes).join(size, "rep").join(degree, "rep", "left")
+    known = known.groupBy("doc").agg(F.min("root").alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.max("copies").alias("copies"))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     out = ids.join(known, F.col("doc_id") == F.col("doc"), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
@@ -253,7 +347,9 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents but for those whose class has a document with a lesser id; all columns unchanged."""
-    gone = staged(classed(docs, doc_id, text).where("doc_id != class_id").select("doc_id").distinct(), "ngram-gone")
+    copies, _, classes, _ = links_and_classes(docs, doc_id, text)
+    least = _class_of(copies, classes).groupBy(F.col("doc").alias("doc_id")).agg(F.min("root").alias("class_id"))
+    gone = staged(least.where("doc_id != class_id").select("doc_id"), "ngram-gone")
     key, other = F.xxhash64(F.col(doc_id).cast("long")), F.xxhash64("doc_id")
     kept = maybe_in(docs, key, gone, other, there=False)
     checked = maybe_in(docs, key, gone, other)
