@@ -43,6 +43,29 @@ def test_quality_rejects_what_lies_far_off(spark, shared):
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {r[0] for r in clean}
 
 
+def test_quality_rejects_by_each_statistic_alone(spark, shared):
+    """One planted document for each of the four statistics; one short line that comes twice is none."""
+    rng = random.Random(8)
+    word = lambda low=2, high=8: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    clean = [(i, plain(200)) for i in range(150)]
+    lines = [plain(20) for _ in range(5)]
+    clean.append((200, "\n".join([plain(7), *lines, plain(100)]) + "\n" + plain(7)))
+    clean.append((201, "\n".join([short := plain(7), *lines, plain(100), short])))
+    labels, phrase = [plain(1) + str(i) for i in range(12)], "red green blue "
+    planted = {
+        1000: " ".join(word(8, 12) for _ in range(200)),
+        1001: " ".join(word() + "#" * (i % 3 == 0) for i in range(200)),
+        1002: plain(150) + "\n" + "\n".join(rng.choice(labels) for _ in range(70)),
+        1003: plain(110) + " " + phrase * 30,
+        1004: plain(150) + "\nClick here" * 60,
+    }
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in [*clean, *planted.items()]], "doc_id long, text string, lang string, source string")
+    rows = quality.judged(docs, ["doc_id"]).collect()
+    assert not any(r["base"]["base_failed"] for r in rows)
+    assert {r["row"]["doc_id"] for r in rows if not r["kept"]} == set(planted)
+
+
 def test_line_dedup_against_brute_force(spark, odd, none):
     rng = random.Random(5)
     bank = [" ".join(rng.choice(["the", "of", "mill", "sea", "was", "old"]) for _ in range(rng.randint(5, 9))) for _ in range(60)]
