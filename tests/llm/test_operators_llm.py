@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnstile.llm import components, decontaminate, line_dedup, ngram_join, piece_transducer, quality, secrets, token_files, url_filter, warc, wrapper
@@ -253,6 +254,20 @@ def test_urls_spread_blocks_to_aliases(spark, shared):
     assert out.count() == 10
 
 
+def test_urls_resolve_relative_targets_and_take_all(spark, shared):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0;url={}">'
+    site = "https://a.example.net"
+    want = {"/bad/1": "/bad/1", "//a.example.net/bad/1": "/bad/1", "1": "/x/y/1", "./1?q=2": "/x/y/1?q=2", "../1": "/x/1", "../../../1": "/1", "..": "/x/", "?p": "/x/y/z?p"}
+    rows = [(t, site + "/x/y/z?old", (canonical if i % 2 else refresh).format(t)) for i, t in enumerate(want)]
+    for t, url, html in rows:
+        from_urls = url_filter.equivalences(spark.createDataFrame([(t, url, html)], "page_id string, url string, html string"))
+        b = spark.createDataFrame([(site + want[t],)], "url string").select(url_filter.node_of(F.col("url"))).first()[0]
+        assert [r["b"] for r in from_urls.collect()] == [b], t
+    pages = [(0, site + "/bad/1", ""), (1, site + "/ok/1", canonical.format("/ok/2") + canonical.format("/bad/1")), (2, site + "/ok/3", canonical.format("mailto:a@b") + refresh.format("#x")), (3, None, canonical.format("/bad/1"))]
+    out = url_filter.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "example.net", "/bad/")], ["page_id"])
+    assert {r["row"]["page_id"]: r["verdict"] for r in out.collect()} == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
 def test_archives(spark, shared, tmp_path):
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/\r\nX: y", None), (4, None, ""), (5, "http://d/", "é" * 200_000), (None, "u", "same"), (6, "v", "one")] * 2
     got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("url").collect()), key=repr)

@@ -9,8 +9,11 @@ allowed, and a component in which a url is explicitly allowed passes no block on
 Urls are compared without their fragment, with the scheme left out and the host in lower case. Components are found by
 distributed steps on url hashes (`components`); nothing about the corpus goes through the driver.
 
-Edge cases: a null url or one without "://" has an empty host and path, fits no rule and is allowed; relative,
-empty and non-http targets make no link; a link of a page to itself is none; repeated pages are judged one by one.
+Every canonical link and refresh of a page counts. Relative targets are resolved against the page's url, or the http url
+its base element names: scheme, host, folder, "." and "..".
+
+Edge cases: a null url or one without "://" has an empty host and path, fits no rule and is allowed; empty and non-http
+targets make no link; a link of a page to itself is none; repeated pages are judged one by one.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ _HEAD = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*[0-9.]*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)"""
 
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?(https?://[^"'\s>]+)"""
+
 
 def host_of(url: Column) -> Column:
     return ascii_lower(F.coalesce(F.regexp_extract(url, _HEAD, 1), F.lit("")))
@@ -51,12 +56,36 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.xxhash64(host_of(url), rest))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its "." and ".." segments taken out."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(done, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that a target means on a page; null where it is not http or empty."""
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?):", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path, query = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)", 1))
+    return (
+        F.when(target.rlike("(?i)^https?://"), target)
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (target == "") | F.startswith(target, F.lit("#")), F.lit(None).cast("string"))
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, path_of(base), target))
+        .otherwise(F.concat(site, without_dots(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))), query))
+    )
+
+
 def equivalences(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """a, b: hashes of urls that a page declares to be the same."""
-    targets = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
+    targets = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
     links = pages.where(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh")))
-    links = links.select(node_of(F.col(url)).alias("a"), F.explode(targets).alias("target")).withColumn("target", F.replace("target", F.lit("&amp;"), F.lit("&")))
-    return links.where(F.col("target").rlike("(?i)^https?://")).select("a", node_of(F.col("target")).alias("b")).where("a != b").distinct()
+    named = F.regexp_extract(html, _BASE, 1)
+    links = links.select(node_of(F.col(url)).alias("a"), F.when(named != "", named).otherwise(F.col(url)).alias("base"), F.explode(targets).alias("target"))
+    links = links.where("a is not null").withColumn("target", F.replace("target", F.lit("&amp;"), F.lit("&")))
+    return links.select("a", node_of(resolved(F.col("target"), F.col("base"))).alias("b")).where("a != b").distinct()
 
 
 def judged(pages: DataFrame, rules: list[Rule], carry: list[str], url: str = "url", html: str = "html") -> DataFrame:
