@@ -29,9 +29,3 @@ def duck():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def values(df, *columns):
-    """Rows as a sorted list of tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from conftest import values
+from frames import values
 from pyspark.sql import functions as F
 
 from turnstile.functions import scalars as X

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 from decimal import Decimal as D
 
-from conftest import values
+from frames import values
 from pyspark.sql import functions as F
 
 from turnstile.plans import audit, carts, contacts, enrolment, invoice_batch, payment_batch, timeslots
