@@ -129,3 +129,80 @@ FROM d LEFT JOIN (
 
 
 SECRETS = _secrets()
+
+
+def _edit(state: str, cost: str, mark: str, line: str | None = None) -> str:
+    """A path's struct after one more edit; `line` is the repaired row it adds, put behind earlier ones unless there are none."""
+    text = f"{state}.o" if line is None else line if state in ("s0", "t0") else f"{state}.o || chr(10) || {line}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{mark}', 'o': {text}}}"
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _unless(condition: str, option: str) -> str:
+    return f"CASE WHEN {condition} THEN NULL ELSE {option} END"
+
+
+def _repairs() -> str:
+    """Least path to each state of the role pattern, row by row; cost, audit and repaired text go along."""
+    delete = lambda s: _edit(s, "2", "D")
+    keep = lambda s, letter: _unless(f"must OR initial <> '{letter}'", _edit(s, "extra", "K", "role || ':' || text"))
+    rerole = lambda s, role: _unless("must", _edit(s, "1 + extra", "R", f"'{role}:' || text"))
+    read = {
+        "t0": delete("s0"), "t1": _least(delete("s1"), keep("s0", "s")),
+        "t2": _least(delete("s2"), *[f(s, x) for s in ("s0", "s1", "s3") for f, x in ((keep, "u"), (rerole, "user"))]),
+        "t3": _least(delete("s3"), keep("s2", "a"), rerole("s2", "assistant")),
+    }
+    user = lambda s: _edit(s, "5", "I", "'user:'")
+    pair = lambda s: _edit(s, "10", "II", "'user:' || chr(10) || 'assistant:'")
+    inserted = {"s0": "t0", "s1": "t1", "s2": _least("t2", user("t0"), user("t1"), user("t3")), "s3": _least("t3", _edit("t2", "5", "I", "'assistant:'"), pair("t0"), pair("t1"))}
+    none = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': ''}"
+    start = {"s0": "{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}", "s1": none, "s2": "{'c': CAST(5 AS BIGINT), 'a': 'I', 'o': 'user:'}", "s3": "{'c': CAST(10 AS BIGINT), 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:'}"}
+    listed = lambda named: ", ".join(f"{v} AS {k}" for k, v in named.items())
+    return rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS crcs
+  FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crcs,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes
+  FROM conversations, crc_table),
+dealt AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE kind <> 0),
+numbered AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
+  FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN ending = '' THEN 1 WHEN seen > 1 THEN 2 WHEN ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM numbered),
+ordered AS (SELECT conv_id, i, role, text, initial, fault IN (1, 2) AS must, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS extra FROM judged),
+paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n_read, {listed(start)} FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n_read, {listed(inserted)}
+  FROM (SELECT r.conv_id, r.i AS n_read, {listed(read)} FROM paths JOIN ordered r ON r.conv_id IS NOT DISTINCT FROM paths.conv_id AND r.i = paths.n_read + 1)),
+ends AS (
+  SELECT conv_id, {_least("s0", "s3")} AS best FROM paths QUALIFY n_read = max(n_read) OVER (PARTITION BY conv_id)),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(best.o) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+CONVERSATIONS = _repairs()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import decontaminate, line_dedup, ngram_join, oracles, piece_transducer, quality, registry, secrets, token_counts, token_files, url_filter, warc, wrapper
+from turnstile.llm import conversation_repair, decontaminate, line_dedup, ngram_join, oracles, piece_transducer, quality, registry, secrets, token_counts, token_files, url_filter, warc, wrapper
 from turnstile.llm.common import read
 from turnstile.llm.registry import query
 
@@ -76,6 +76,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.col("kept_text").alias("text"), "n_lines", "n_removed")
 
 
+@query("op11_edit_lattice", oracles.CONVERSATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(read(spark, sf_dir, "conversations"))
+    return conversation_repair.repaired(rows, dropped=F.col("dropped")).withColumnRenamed("key", "conv_id")
+
+
 @query("op13_pretoken_counts")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.counted(read(spark, sf_dir, "documents"), BYTE_PIECES, ["doc_id"])
