@@ -206,3 +206,35 @@ FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 
 
 CONVERSATIONS = _repairs()
+
+#: Phrases by listing every n-gram; a candidate is dropped if any longer phrase around it is as frequent.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, w, len(w) AS size, unnest(range(1, len(w) + 1)) AS i FROM worded),
+f AS MATERIALIZED (
+  SELECT lang, phrase, CAST(count(*) AS BIGINT) AS f
+  FROM (SELECT lang, list_slice(w, i, i + m - 1) AS phrase FROM grams, range(1, 6) lengths(m) WHERE i + m - 1 <= size)
+  GROUP BY lang, phrase),
+candidates AS MATERIALIZED (SELECT lang, phrase, f AS a, len(phrase) AS m FROM f WHERE f >= 100 AND len(phrase) >= 2),
+inner_ones AS (
+  SELECT DISTINCT lang, phrase
+  FROM (SELECT c.lang, c.a, list_slice(c.phrase, i, i + k - 1) AS phrase FROM candidates c, range(1, 6) starts(i), range(2, 5) sizes(k) WHERE k < c.m AND i + k - 1 <= c.m) longer
+  JOIN candidates s USING (lang, phrase) WHERE 100 * longer.a >= 100 * s.a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, n, k,
+         CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = list_slice(c.phrase, 1, k)
+  JOIN f r ON r.lang = c.lang AND r.phrase = list_slice(c.phrase, k + 1, m)
+  JOIN totals t ON t.lang = c.lang
+  ANTI JOIN inner_ones i ON i.lang = c.lang AND i.phrase = c.phrase),
+best AS (
+  SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, cuts.phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import conversation_repair, decontaminate, line_dedup, ngram_join, oracles, piece_transducer, quality, registry, secrets, token_counts, token_files, url_filter, warc, wrapper
+from turnstile.llm import collocations, conversation_repair, decontaminate, line_dedup, ngram_join, oracles, piece_transducer, quality, registry, secrets, token_counts, token_files, url_filter, warc, wrapper
 from turnstile.llm.common import read
 from turnstile.llm.registry import query
 
@@ -82,6 +82,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(rows, dropped=F.col("dropped")).withColumnRenamed("key", "conv_id")
 
 
+@query("op12_count_automata", oracles.COLLOCATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(read(spark, sf_dir, "documents"))
+
+
 @query("op13_pretoken_counts")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.counted(read(spark, sf_dir, "documents"), BYTE_PIECES, ["doc_id"])
