@@ -22,17 +22,15 @@ names; a text longer than a block is cut at a separator; control characters othe
 
 from __future__ import annotations
 
-import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import staged
+from turnstile.llm.common import packed, staged, unpacked
 
 #: Fixed values of the contract.
 LONGEST, MIN_COUNT, FIRST, PER_MILLE, UNKNOWN = 5, 100, 2000, 1000, "und"
@@ -44,25 +42,6 @@ SIGNS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 BLOCK_BYTES, RANGE_GRAMS, MOST_RANGES, SAMPLE, SAMPLE_RANGE = 8_000_000, 1_000_000, 1_000_000, 20_000, 4
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of each significance, compressed."""
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        out += [struct.pack("<QB", len(a), a.itemsize), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpacked(raw: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
-    while at < len(raw):
-        n, size = struct.unpack_from("<QB", raw, at)
-        planes = np.frombuffer(raw, np.uint8, n * size, at + 9).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}") if n else np.zeros(0, f"<u{size}"))
-        at += 9 + n * size
-    return out
-
-
 def summed(paths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, and the sums of their weights; rows are labels from 1, filled up with 0."""
     if not len(paths):
@@ -354,7 +333,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     frequent = held.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("a")).where(F.col("a") >= min_count)
     words = staged(frequent.withColumn("number", F.monotonically_increasing_id()), "collocation-words")
     # A list a block: as long as its distinct words, whose number its bytes bound.
-    back = held.join(words.select("lang", F.col("word").alias("words"), "number"), ["lang", "words"]).groupBy("block").agg(F.collect_list(F.struct("place", "number")).alias("back")).select("block", F.col("back.place").alias("places"), F.col("back.number").alias("numbers"))
+    met = held.join(words.select("lang", F.col("word").alias("words"), "number"), ["lang", "words"], "left")
+    back = met.groupBy("block").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("place", "number"))).alias("back")).select("block", F.col("back.place").alias("places"), F.col("back.number").alias("numbers"))
     shards = staged(blocks.select("block", "sequence").join(back, "block").select("sequence", "places", "numbers").mapInArrow(_numbered, "shard binary"), "collocation-shards")
 
     # One row: how many words there are.
