@@ -28,13 +28,27 @@ def timeslots(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame:
     `requests`: request_id, cookie_id, park_id, date, product_level_id, accessible, use_percent.
     """
     now = X.clock(as_of)
-    wanted = asked(cat, requests)
-    bundles = base_bundles(cat, wanted, now)
-    slots = open_slots(cat, wanted, now)
-    matched = jn.band_join(slots, bundles, "start_hour", "band_start", 1, on="request_id")
+    matched = jn.band_join(open_slots(cat, requests, now), base_bundles(cat, requests, now), "start_hour", "band_start", 1, on="request_id")
     return _decorate(cat, matched)
 
 
+#: What decides a request's answer besides the caller's own carts and bookings.
+VIEW = ["park_id", "date", "product_level_id", "accessible", "use_percent"]
+
+
+def base_bundles(cat: Catalog, requests: DataFrame, now) -> DataFrame:
+    """One party bundle per request and start hour: active before inactive, then cheapest."""
+    return occ.shared_answers(requests, occ.bundle_stakes(cat, requests, now), VIEW, lambda rows: _bundles_of(cat, asked(cat, rows), now)).drop("cookie_id")
+
+
+def open_slots(cat: Catalog, requests: DataFrame, now) -> DataFrame:
+    """Slots with price and count: the day's schedule, else dated templates, else default ones."""
+    rows = occ.shared_answers(requests, occ.detail_stakes(cat, requests, now), VIEW, lambda r: _slots_of(cat, asked(cat, r), now))
+    # The caller's carts change what a slot of their resource type counts for.
+    weighed = rows.join(_own_cart_weight(cat), ["cookie_id", "resource_type_id"], "left")
+    return weighed.groupBy(*SLOT).agg(F.min("price").alias("slot_price"), F.sum(F.col("places") * F.coalesce("weight", F.lit(1))).alias("available"))
+
+
 def asked(cat: Catalog, requests: DataFrame) -> DataFrame:
     """Requests with their weekday and the ordinal of the wanted level."""
     levels = cat.table("prdct.ProductLevel", "id", "ordinal").toDF("product_level_id", "wanted_ordinal")
@@ -47,8 +61,7 @@ def timeslot_documents(cat: Catalog, requests: DataFrame, as_of=None) -> DataFra
     return doc.child_arrays(rows, "request_id", OUTPUT, ["start_hour", "party_theme", "end_hour", "bundle_schedule_id"], "Slots")
 
 
-def base_bundles(cat: Catalog, requests: DataFrame, now) -> DataFrame:
-    """One party bundle per request and start hour: active before inactive, then cheapest."""
+def _bundles_of(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     bundle = cat.table("product.Bundle", "id", "park_id", "bundle_type_id", "start_date", "end_date", "is_active").filter(
         F.col("bundle_type_id") == codes.BUNDLE_PARTY
     ).select(F.col("id").alias("bundle_id"), "park_id", F.col("start_date").alias("b_start"), F.col("end_date").alias("b_end"), F.col("is_active").alias("bundle_active"))
@@ -90,8 +103,7 @@ def base_bundles(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     return win.keep_first(priced, ["request_id", "band_start"], order).drop("list_price", "cookie_id").withColumnRenamed("bundle_active", "is_active")
 
 
-def open_slots(cat: Catalog, requests: DataFrame, now) -> DataFrame:
-    """Slots with price and count: the day's schedule, else dated templates, else default ones."""
+def _slots_of(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     schedule = cat.table("booking.Schedule", "id", "park_id", "date", "deleted").filter(F.col("deleted").isNull()).select(F.col("id").alias("schedule_id"), "park_id", "date")
     template = cat.table("booking.Template", "id", "park_id", "start_date", "end_date", "is_default", "is_active", "deleted").filter(
         F.col("is_active") & F.col("deleted").isNull()
@@ -113,24 +125,23 @@ def open_slots(cat: Catalog, requests: DataFrame, now) -> DataFrame:
     cheapest = details.uncontested.groupBy(*day, *kind).agg(F.min("price").alias("price"), F.count("*").alias("places"))
     asked_columns = [*requests.columns, *kind, "price", "places"]
     offered = requests.join(cheapest, day).select(*asked_columns).unionByName(
-        details.free_for(requests.join(details.contested, day)).withColumn("places", F.lit(1).cast("long")).select(*asked_columns)
-    )
-    scheduled = _suitable(cat, offered).join(_own_cart_weight(cat), ["cookie_id", "resource_type_id"], "left").withColumn(
-        "weight", F.col("places") * F.coalesce("weight", F.lit(1))
+        details.free_for(requests).withColumn("places", F.lit(1).cast("long")).select(*asked_columns)
     )
+    scheduled = _suitable(cat, offered)
     pattern = cat.table("booking.TemplateDetails", "template_id", "resource_id", "day_of_week", "start_hour", "end_hour", "minimum_product_level_id", "party_theme_id", "deleted").filter(
         F.col("deleted").isNull()
     ).withColumnRenamed("day_of_week", "dow").drop("deleted")
     # So do the details of a template.
-    patterns = pattern.join(occ.resources(cat), "resource_id").groupBy("template_id", "dow", *kind).agg(F.min("price").alias("price"), F.count("*").alias("weight"))
-    from_template = _suitable(cat, templated.join(patterns, ["template_id", "dow"]))
-    columns = ["request_id", "start_hour", "end_hour", "party_theme_id", "price", "weight"]
+    patterns = pattern.join(occ.resources(cat), "resource_id").groupBy("template_id", "dow", *kind).agg(F.min("price").alias("price"), F.count("*").alias("places"))
+    # No cart changes what a template's slot counts for.
+    from_template = _suitable(cat, templated.join(patterns, ["template_id", "dow"])).withColumn("resource_type_id", F.lit(None).cast(dict(scheduled.dtypes)["resource_type_id"]))
+    columns = ["request_id", "start_hour", "end_hour", "party_theme_id", "resource_type_id", "price", "places"]
     themes = cat.table("booking.PartyTheme", "id", "description", "color_code", "image_url").toDF("party_theme_id", "party_theme", "theme_color", "theme_image")
     known = themes.select("*", F.col("party_theme_id").alias("known_theme_id"))
     return (
         scheduled.select(*columns).unionByName(from_template.select(*columns)).join(known, "party_theme_id", "left")
-        .withColumn("party_theme_id", F.col("known_theme_id")).groupBy(*SLOT)
-        .agg(F.min("price").alias("slot_price"), F.sum("weight").alias("available"))
+        .withColumn("party_theme_id", F.col("known_theme_id")).groupBy(*SLOT, "resource_type_id")
+        .agg(F.min("price").alias("price"), F.sum("places").alias("places"))
     )
 
 
