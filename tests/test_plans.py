@@ -7,7 +7,7 @@ from decimal import Decimal as D
 from frames import values
 from pyspark.sql import functions as F
 
-from turnstile.plans import audit, carts, contacts, enrolment, invoice_batch, payment_batch, timeslots
+from turnstile.plans import audit, carts, contacts, enrolment, invoice_batch, occupancy, payment_batch, timeslots
 from turnstile.plans.revenue import revenue_ledger
 from turnstile.queries.availability import slot_requests
 from turnstile.queries.base import Tables
@@ -104,6 +104,50 @@ def test_contact_stream_resumes_where_it_stopped(spark, tmp_path):
     assert not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("batch=None")]
 
 
+def test_contact_stream_repeats_a_batch_without_copies(spark, tmp_path):
+    """A batch whose commit is lost is run again: its rows and its log row replace those of the first run."""
+    joined = people(spark).table("acct.Person").withColumnRenamed("id", "person_id").join(people(spark).table("acct.AccountPerson"), "person_id")
+    source, state = str(tmp_path / "in"), tmp_path / "cp"
+    run = lambda: jobs.load_contacts(jobs.read_stream(spark, source, joined), str(tmp_path / "out"), str(tmp_path / "log"), str(state), AS_OF).awaitTermination()
+    for drop in ("person_id = 1", "person_id > 1"):
+        joined.filter(drop).write.mode("append").parquet(source)
+        run()
+    rows = lambda: (values(spark.read.parquet(str(tmp_path / "out" / "*")), "person_id"), values(spark.read.parquet(str(tmp_path / "log" / "*")), "record_count", "newest"))
+    before = rows()
+    for commit in (state / "commits").glob("*1*"):
+        commit.unlink()
+    run()
+    assert rows() == before and before[0] == [(1,), (2,)]
+
+
+def test_contact_load_starts_from_its_log(spark, tmp_path):
+    """Repeated loads find nothing new; a load that lost its log row replaces its own rows."""
+    target, log = str(tmp_path / "out"), str(tmp_path / "log")
+    contacts.load_child_contacts(people(spark), target, log, AS_OF)
+    once = values(spark.read.parquet(f"{target}/*"), "person_id")
+    contacts.load_child_contacts(people(spark), target, log, AS_OF)
+    assert values(spark.read.parquet(f"{target}/*"), "person_id") == once and once
+    assert sorted(r["record_count"] for r in spark.read.parquet(f"{log}/*").collect()) == [0, len(once)]
+    contacts.load_child_contacts(people(spark), target, str(tmp_path / "lost"), AS_OF)  # as if the first log row had not been written
+    assert values(spark.read.parquet(f"{target}/*"), "person_id") == once
+
+
+def test_callers_without_a_stake_share_an_answer(spark):
+    """Requests that nothing of their callers' own concerns shrink to their views; each still gets its rows."""
+    rows = [(1, 10, 5, "x"), (2, 11, 5, "x"), (3, None, 5, "x"), (4, 12, 5, "x"), (5, 12, None, "x"), (6, 13, None, "x")]
+    requests = spark.createDataFrame(rows, "request_id long, cookie_id long, park_id long, level string")
+    seen = []
+
+    def answer(asked):
+        seen.extend(values(asked, "cookie_id", "park_id", "level"))
+        return asked.select("request_id", F.coalesce("cookie_id", F.lit(0)).alias("who"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("slot"))
+
+    out = occupancy.shared_answers(requests, spark.createDataFrame([(4,), (4,)], "request_id long"), ["park_id", "level"], answer)
+    want = sorted((r, 12 if r == 4 else 0, slot) for r in range(1, 7) for slot in "ab")
+    assert values(out, "request_id", "who", "slot") == want
+    assert seen == sorted([(12, 5, "x"), (None, 5, "x"), (None, None, "x")], key=repr)
+
+
 # --- payments -------------------------------------------------------------------------------------------
 
 PAYMENT = "id long, external_id string, invoice_header_id long, amount decimal(18,6), payment_status_id int, application_fee_total decimal(18,6), failure_message string, modified_by string, modified_date timestamp_ntz"

@@ -66,15 +66,35 @@ def watermark(loaded: DataFrame, col: str = "person_row_start_date") -> DataFram
 
 
 def child_contacts_delta(cat: Catalog, loaded: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, run-log row): current non-owner rows strictly newer than the watermark.
+    """(rows to append, run-log row): current non-owner rows strictly newer than what is loaded.
 
     A row that arrives later with exactly the watermark's stamp is not picked up.
     """
+    rows = _newer(cat, watermark(loaded).scalar(), as_of)
+    return rows, sinks.run_log(rows, X.clock(as_of))
+
+
+def loaded_until(cat: Catalog, log: str):
+    """Newest stamp that any logged load has written: the log is read, not the target."""
+    stamp = sinks.read_loads(cat.spark, log, sinks.LOG).agg(F.max("newest").alias("newest")).first()["newest"]
+    return codes.FIRST_WATERMARK if stamp is None else stamp
+
+
+def load_child_contacts(cat: Catalog, target: str, log: str, as_of=None) -> None:
+    """One incremental load: what is newer than the log's newest stamp, in a folder named by that stamp.
+
+    A load that failed before its log row was written starts from the same stamp again and replaces itself.
+    """
+    since = loaded_until(cat, log)
+    name = f"since={since}".replace(" ", "T").replace(":", "")
+    sinks.logged_load(_newer(cat, X.clock(since), as_of), f"{target}/{name}", f"{log}/{name}", X.clock(as_of), newest="person_row_start_date")
+
+
+def _newer(cat: Catalog, since: Column, as_of) -> DataFrame:
     people = cat.table("acct.Person", "id", "first_name", "last_name", "date_of_birth", "row_start", "row_end").withColumnRenamed("id", "person_id")
     links = cat.table("acct.AccountPerson", "account_id", "person_id", "account_role_id").filter(F.col("account_role_id") != codes.ROLE_OWNER).drop("account_role_id")
-    fresh = people.filter((F.col("row_start") > watermark(loaded).scalar()) & (F.col("row_end") >= X.clock(codes.OPEN_END)))
-    rows = fresh.join(links, "person_id").withColumns(_printed(strip_slashes=False)).select(
+    fresh = people.filter((F.col("row_start") > since) & (F.col("row_end") >= X.clock(codes.OPEN_END)))
+    return fresh.join(links, "person_id").withColumns(_printed(strip_slashes=False)).select(
         "account_id", "person_id", "first_name", "last_name", "date_of_birth", F.col("row_start").alias("person_row_start_date"),
         F.col("row_end").alias("person_row_end_date"), X.clock(as_of).alias("dataload_create_date"),
     )
-    return rows, sinks.run_log(rows, X.clock(as_of))

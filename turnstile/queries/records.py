@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnstile.plans import audit, documents
-from turnstile.queries.base import AS_OF, query
+from turnstile.queries.base import AS_OF, ORACLE, query
 from turnstile.queries.people import valid_tokens  # noqa: F401
 from turnstile.queries.reports import catalog, plain
+from turnstile.session import ensure_checkpoint_dir
+from turnstile.sources import sinks
 from turnstile.sources.derived import with_tables
 
 
@@ -39,7 +43,10 @@ SELECT h.id AS invoice_header_id, h.confirmation_code, c.code AS currency, k.nam
 FROM invoice_invoice_header h JOIN currency_currency c ON c.id = h.currency_id JOIN park_park k ON k.id = h.location_id JOIN dbo_brands b ON b.id = k.brand_id JOIN acct_account ac ON ac.id = h.account_id JOIN acct_person pe ON pe.id = ac.person_id
 LEFT JOIN d ON d.h = h.id LEFT JOIN p ON p.h = h.id"""))
 def invoice_documents(t):
-    docs = documents.invoice_documents(catalog(t))
+    return _invoice_fields(documents.invoice_documents(catalog(t)))
+
+
+def _invoice_fields(docs):
     holder = F.col("Account.PrimaryAccountHolder")
     allocations = lambda p: F.array_join(F.transform(p["PaymentInvoiceDetails"], lambda a: F.concat_ws("/", a["Id"], a["PaidPrinciple"].cast("double"))), "+")
     return docs.select(
@@ -50,6 +57,15 @@ def invoice_documents(t):
     )
 
 
+@query("json_documents", ORACLE["invoice_documents"])
+def json_documents(t):
+    """Invoice documents written as JSON in a folder for each currency, and read back with their schema."""
+    docs = documents.invoice_documents(catalog(t))
+    folder = f"{ensure_checkpoint_dir(t.spark)}/documents-{uuid.uuid4().hex}"
+    sinks.write_json_documents(docs.withColumn("currency_code", F.col("Currency.Code")), folder, ["currency_code"])
+    return _invoice_fields(t.spark.read.schema(docs.schema).json(folder))
+
+
 @query("invoice_documents_by_code", with_tables("""WITH a AS (SELECT x.invoice_detail_id, p.invoice_header_id AS h, string_agg(x.payment_id || '/' || CAST(x.paid_tax AS DOUBLE), '+' ORDER BY x.payment_id, x.paid_principle) AS v FROM invoice_payment_invoice_detail x JOIN invoice_payment p ON p.id = x.payment_id WHERE x.payment_invoice_detail_status_id = 1 GROUP BY 1, 2),
 s AS (SELECT s.*, pr.name AS product_name, coalesce(pr.is_combo, false) AS combo, tp.product_type_id, t.name AS ticket_name, lv.web_color AS ticket_color, pe.first_name FROM acct_subscription s LEFT JOIN prdct_park_product pr ON pr.id = s.product_id LEFT JOIN prdct_product_template tp ON tp.id = pr.product_template_id
    LEFT JOIN product_ticket t ON t.id = s.ticket_id LEFT JOIN prdct_product_level lv ON lv.id = t.product_level_id LEFT JOIN acct_person pe ON pe.id = s.person_id),

@@ -45,8 +45,7 @@ def load_contacts(people: DataFrame, out: str, log: str, checkpoint: str, as_of)
             {"first_name": X.clean_name("first_name", False), "last_name": X.clean_name("last_name", False), "date_of_birth": X.floor_1900("date_of_birth"), "dataload_create_date": now}
         )
         name = f"batch={batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
-        rows.write.mode("overwrite").parquet(f"{out}/{name}")
-        sinks.run_log(batch.sparkSession.read.parquet(f"{out}/{name}"), now).write.mode("overwrite").parquet(f"{log}/{name}")
+        sinks.logged_load(rows, f"{out}/{name}", f"{log}/{name}", now, newest="row_start")
 
     return people.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
