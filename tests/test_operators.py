@@ -135,6 +135,19 @@ def test_assigned_ids_are_dense_and_repeatable(spark):
     assert values(first) == values(mg.assign_ids(df.repartition(5), ["id"], "new", 500, buckets=16))
 
 
+def test_rowset_diff_sees_moved_nulls(spark):
+    """Equal rows in any order give equal digests; a null that moves, also inside an array, does not."""
+    schema = "k int, x string, y string, z array<int>"
+    rows = [(i, None if i % 3 else "p", "q" if i % 2 else None, [1, None] if i % 5 else None) for i in range(200)]
+    a = spark.createDataFrame(rows, schema)
+    assert sets.differing_buckets(a, spark.createDataFrame(rows[::-1], schema).repartition(7)).count() == 0
+    assert sets.rowset_diff(a, a.select("z", "y", "x", "k"), buckets=5).count() == 0
+    moved = [(0, None, "p", None), *rows[1:6], (6, *rows[6][1:3], [None, 1]), *rows[7:], rows[7]]
+    got = sets.rowset_diff(a, spark.createDataFrame(moved, schema), buckets=5)
+    assert values(got, "k", "side", "copies") == [(0, "extra", 1), (0, "missing", 1), (6, "extra", 1), (6, "missing", 1), (7, "extra", 1)]
+    assert sets.differing_buckets(a, spark.createDataFrame(moved, schema)).count() <= 4
+
+
 def test_rowset_diff_counts_copies(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "v int")
     b = spark.createDataFrame([(1,), (3,), (None,)], "v int")
