@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import struct
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +96,22 @@ def kept_in_worker(key: str, make: Callable[[], object]) -> object:
     if key not in home:
         home[key] = make()
     return home[key]
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of each significance, compressed."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        out += [struct.pack("<QB", len(a), a.itemsize), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    while at < len(raw):
+        n, size = struct.unpack_from("<QB", raw, at)
+        planes = np.frombuffer(raw, np.uint8, n * size, at + 9).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}") if n else np.zeros(0, f"<u{size}"))
+        at += 9 + n * size
+    return out
