@@ -73,10 +73,11 @@ def maybe_in(df: DataFrame, key: Column, members: DataFrame, member: Column, the
     A bitmap of fixed size spares shuffling rows that an exact join would drop later; that join still has to follow.
     With ever more members it lets ever more rows pass, and never loses one.
     """
+    held, bits = inner_name(df, "_word"), inner_name(df, "_bits")
     word = lambda h: F.shiftrightunsigned(h, 64 - (BITMAP_BITS - 6))
     bit = lambda h: h.bitwiseAND(63).cast("int")
-    bitmap = members.select(member.alias("h")).groupBy(word(F.col("h")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("_bits"))
-    hit = (word(key) == F.col("_word")) & (F.call_function("shiftright", F.col("_bits"), bit(key)).bitwiseAND(1) == 1)
+    bitmap = members.select(member.alias("h")).groupBy(word(F.col("h")).alias(held)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias(bits))
+    hit = (word(key) == F.col(held)) & (F.call_function("shiftright", F.col(bits), bit(key)).bitwiseAND(1) == 1)
     return df.join(F.broadcast(bitmap), hit, "left_semi" if there else "left_anti")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import maybe_in, staged
+from turnstile.llm.common import inner_name, maybe_in, staged
 
 #: Least score of a match, and its least share of the item's words.
 NGRAM, THRESHOLD = 4, 0.5
@@ -215,8 +215,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item; all columns unchanged."""
-    gone = staged(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_gone")).distinct(), "leak-documents")
-    key, other = F.xxhash64(F.col(doc_id)), F.xxhash64("_gone")
+    name = inner_name(docs, "_gone")
+    gone = staged(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(name)).distinct(), "leak-documents")
+    key, other = F.xxhash64(F.col(doc_id)), F.xxhash64(name)
     kept = maybe_in(docs, key, gone, other, there=False)
     checked = maybe_in(docs, key, gone, other)
-    return kept.unionByName(checked.join(gone, checked[doc_id].eqNullSafe(F.col("_gone")), "left_anti"))
+    return kept.unionByName(checked.join(gone, checked[doc_id].eqNullSafe(F.col(name)), "left_anti"))

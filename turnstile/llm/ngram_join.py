@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import maybe_in, staged
+from turnstile.llm.common import inner_name, maybe_in, staged
 from turnstile.llm.components import components
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
@@ -266,8 +266,12 @@ def _verified(pairs: DataFrame, worded: DataFrame, n: int, threshold: float) ->
     return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(_similar(n, threshold), "a long, b long"), "ngram-links")
 
 
+#: A character that is no white space to str.split().
+WORD = r"(?U)[^\s\x1c-\x1f]"
+
+
 def _worded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"\S"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(WORD))
 
 
 def _parts(size: Column, rows: Column) -> Column:
@@ -353,4 +357,5 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     key, other = F.xxhash64(F.col(doc_id).cast("long")), F.xxhash64("doc_id")
     kept = maybe_in(docs, key, gone, other, there=False)
     checked = maybe_in(docs, key, gone, other)
-    return kept.unionByName(checked.join(gone.withColumnRenamed("doc_id", "_gone"), checked[doc_id].cast("long") == F.col("_gone"), "left_anti"))
+    name = inner_name(docs, "_gone")
+    return kept.unionByName(checked.join(gone.withColumnRenamed("doc_id", name), checked[doc_id].cast("long") == F.col(name), "left_anti"))
