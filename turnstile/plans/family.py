@@ -60,15 +60,20 @@ def family_documents(cat: Catalog, requests: DataFrame, as_of=None) -> DataFrame
     return doc.child_arrays(rows, "request_id", {m: m for m in members}, ["reservation_id"], "Reservations")
 
 
+#: Parts in which the settings meet the brands.
+SETTING_SLOTS = 16
+
+
 def brand_settings(cat: Catalog) -> DataFrame:
     """Every setting of every brand: the brand's value, else the default."""
     settings = cat.table("dbo.Settings", "id", "default_value").toDF("setting_id", "default_value")
     brands = cat.table("dbo.Brands", "id").withColumnRenamed("id", "brand_id")
     values = cat.table("dbo.BrandSettings", "brand_id", "setting_id", "value")
     overridden = settings.join(values, "setting_id").select("brand_id", "setting_id", F.coalesce("value", "default_value").alias("value"))
-    # Brands take the packed list of defaults as one row, so the two tables are never multiplied out by a join.
-    listed = settings.agg(F.collect_list(F.struct("setting_id", "default_value")).alias("__all"))
-    grid = brands.withColumn("__all", listed.scalar()).select("brand_id", F.inline("__all"))
+    # Every brand lists every setting: the grid is the result, dealt out by setting, so that no task holds all settings.
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(SETTING_SLOTS - 1).cast("long"))
+    dealt = settings.withColumn("__slot", F.pmod(F.xxhash64("setting_id"), F.lit(SETTING_SLOTS)))
+    grid = brands.withColumn("__slot", F.explode(slots)).join(dealt, "__slot").drop("__slot")
     defaults = grid.join(values.select("brand_id", "setting_id").distinct(), ["brand_id", "setting_id"], "left_anti").withColumnRenamed("default_value", "value")
     return overridden.unionByName(defaults).distinct()
 
