@@ -159,15 +159,22 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     kind = "array<struct<start:int,number:int,end:int>>"
-    steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(part, F.length).alias("part"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["part"], F.lit(0)) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    zipped = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(part, F.length).alias("part"))
+    size = lambda x: F.coalesce(x["size"], F.lit(0))  # noqa: E731  the text after the last match has none
+    steps = F.transform(zipped, lambda x: F.struct((x["gap"] + size(x)).alias("end"), size(x).alias("size"), F.coalesce(x["part"], F.lit(-1)).alias("part")))
+
+    def doubled(acc: Column, power: Column) -> Column:
+        # Sums of twice as many neighbours: after all powers below the number of matches, `end` counts from the text's start.
+        back = F.call_function("shiftleft", F.lit(1), power)
+        end = lambda x, i: x["end"] + F.coalesce(F.get(acc, i - back)["end"], F.lit(0))
+        longer = F.transform(acc, lambda x, i: F.struct(end(x, i).alias("end"), x["size"].alias("size"), x["part"].alias("part")))
+        return F.when(back < F.size(acc), longer).otherwise(acc)
+
+    def listed(acc: Column) -> Column:
+        long_enough = F.filter(acc, lambda x: x["part"] >= rule.least)
+        return F.transform(long_enough, lambda x: F.struct((x["end"] - x["size"]).alias("start"), F.lit(number).alias("number"), x["end"].alias("end")))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(30)), steps, doubled, listed)
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(kind))
 
 
