@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from turnstile.plans import carts, invoice_batch, payment_batch, special_events
 from turnstile.queries.base import AS_OF, query
 from turnstile.queries.reports import catalog, plain
+from turnstile.sources.catalog import FrameCatalog
 from turnstile.sources.derived import with_tables
+from turnstile.sources.sinks import materialise
 
 
 def _json(**members):
@@ -17,15 +19,14 @@ def _json(**members):
 # --- payments -----------------------------------------------------------------------------------------
 
 def payment_requests(t):
-    """Orders ending in 4 change their payment, those ending in 6 make a new one."""
+    """Every order makes a request: those ending in 0, 4 or 8 change their payment, all others (and 0) make a new one."""
     key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,6)")
-    rows = t.orders.filter((key % 10).isin(4, 6))
-    changed = key % 10 == 4
+    changed = (key % 10).isin(0, 4, 8) & (key > 0)
     fees = F.array(
         F.struct(F.lit(1).alias("ApplicationFeeTypeId"), F.lit(2.5).cast("decimal(18,6)").alias("UnitPrinciple"), F.lit(0.5).cast("decimal(18,6)").alias("UnitTax")),
         F.struct(F.lit(9).alias("ApplicationFeeTypeId"), F.lit(1).cast("decimal(18,6)").alias("UnitPrinciple"), F.lit(0).cast("decimal(18,6)").alias("UnitTax")),
     )
-    return rows.select(
+    return t.orders.select(
         key.alias("request_id"), F.when(changed, key).alias("payment_id"),
         _json(
             InvoiceHeaderId=key, ExternalId=F.concat(F.lit("new_"), key), Amount=price, PaymentStatusId=F.lit(3), IsDeposit=F.lit(False),
@@ -36,7 +37,7 @@ def payment_requests(t):
     )
 
 
-@query("apply_payments", with_tables("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 10 = 4 AS changed, CASE WHEN o_orderkey % 4 = 0 THEN 2 END AS stated, o_orderkey % 3 <> 0 AS with_fees, CAST(o_totalprice AS DECIMAL(18,6)) AS amount, CASE WHEN o_orderkey % 8 = 0 THEN 'late' END AS failure FROM orders WHERE o_orderkey % 10 IN (4, 6)),
+@query("apply_payments", with_tables("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 10 IN (0, 4, 8) AND o_orderkey > 0 AS changed, CASE WHEN o_orderkey % 4 = 0 THEN 2 END AS stated, o_orderkey % 3 <> 0 AS with_fees, CAST(o_totalprice AS DECIMAL(18,6)) AS amount, CASE WHEN o_orderkey % 8 = 0 THEN 'late' END AS failure FROM orders),
 f AS (SELECT payment_id, sum(unit_principle + unit_tax) AS total, sum(CASE WHEN application_fee_type_id = 1 THEN unit_principle + unit_tax END) AS first FROM invoice_application_fee_detail GROUP BY 1),
 c AS (SELECT r.*, CASE WHEN r.with_fees THEN CASE WHEN r.changed THEN coalesce(f.total, 0) - coalesce(f.first, 0) ELSE 0 END + 4 WHEN r.changed THEN f.total END AS fee_sum FROM r LEFT JOIN f ON f.payment_id = r.k)
 SELECT p.external_id, CAST(p.amount AS DOUBLE) AS amount, p.payment_status_id, p.failure_message, p.invoice_header_id, CAST(p.application_fee_total AS DOUBLE) AS application_fee_total FROM invoice_payment p WHERE p.id NOT IN (SELECT k FROM r WHERE changed)
@@ -48,38 +49,73 @@ def apply_payments(t):
     return plain(rows, "amount", "application_fee_total")
 
 
-@query("apply_payment_fees", with_tables("""WITH r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 = 4 AND o_orderkey % 3 <> 0), t(type, amount) AS (VALUES (1, 2.5), (9, 1.0))
-SELECT payment_id, application_fee_type_id, CAST(CASE WHEN application_fee_type_id = 1 AND payment_id IN (SELECT k FROM r) THEN 2.5 ELSE unit_principle END AS DOUBLE) AS unit_principle FROM invoice_application_fee_detail
-UNION ALL SELECT r.k, t.type, CAST(t.amount AS DOUBLE) FROM r CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM invoice_application_fee_detail f WHERE f.payment_id = r.k AND f.application_fee_type_id = t.type)"""))
-def apply_payment_fees(t):
-    """Fee rows after the batch; those of new payments are left out, as their ids are assigned."""
-    cat = catalog(t)
-    tables = payment_batch.apply_payment_batch(cat, payment_requests(t).filter(F.col("payment_id").isNotNull()), "batch", AS_OF)
-    return plain(tables["invoice.ApplicationFeeDetail"].select("payment_id", "application_fee_type_id", "unit_principle"), "unit_principle")
+PAID = """r AS (SELECT o_orderkey AS k, o_orderkey % 10 IN (0, 4, 8) AND o_orderkey > 0 AS changed, o_orderkey % 3 <> 0 AS with_fees FROM orders), t(type, amount) AS (VALUES (1, 2.5), (9, 1.0)),
+fee AS (SELECT f.payment_id, CAST(NULL AS BIGINT) AS request_id, f.application_fee_type_id AS type, CAST(coalesce(t.amount, f.unit_principle) AS DOUBLE) AS amount
+     FROM invoice_application_fee_detail f LEFT JOIN r ON r.k = f.payment_id AND r.changed AND r.with_fees LEFT JOIN t ON r.k IS NOT NULL AND t.type = f.application_fee_type_id
+   UNION ALL SELECT CASE WHEN changed THEN k END, CASE WHEN NOT changed THEN k END, t.type, CAST(t.amount AS DOUBLE) FROM r CROSS JOIN t
+     WHERE with_fees AND (NOT changed OR NOT EXISTS (SELECT 1 FROM invoice_application_fee_detail f WHERE f.payment_id = r.k AND f.application_fee_type_id = t.type)))"""
+
 
+def by_request(rows, made, requests):
+    """Rows of new payments under their request, as their ids are assigned; all others under their payment."""
+    fresh = made.join(requests.filter(F.col("payment_id").isNull()).select("request_id"), "request_id", "left_semi")
+    joined = rows.join(fresh, "payment_id", "left")
+    return joined.withColumn("payment_id", F.when(F.col("request_id").isNull(), F.col("payment_id")))
 
-@query("apply_payment_documents", with_tables("""WITH r AS (SELECT p.id, p.invoice_header_id AS h FROM orders JOIN invoice_payment p ON p.id = o_orderkey WHERE o_orderkey % 10 = 4),
-t(type, amount) AS (VALUES (1, 2.5), (9, 1.0)),
-fee AS (SELECT payment_id, application_fee_type_id AS type, CASE WHEN application_fee_type_id = 1 AND payment_id % 3 <> 0 THEN 2.5 ELSE CAST(unit_principle AS DOUBLE) END AS amount FROM invoice_application_fee_detail JOIN r ON r.id = payment_id
-   UNION ALL SELECT r.id, t.type, t.amount FROM r CROSS JOIN t WHERE r.id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM invoice_application_fee_detail f WHERE f.payment_id = r.id AND f.application_fee_type_id = t.type))
-SELECT r.id AS payment_id, 'new_' || r.id AS external_id, 3 AS status, k.brand_id, (SELECT count(*) FROM fee WHERE fee.payment_id = r.id) AS fees, CAST(coalesce((SELECT sum(amount) FROM fee WHERE fee.payment_id = r.id), 0) AS DOUBLE) AS fee_principle
-FROM r LEFT JOIN invoice_invoice_header i ON i.id = r.h LEFT JOIN park_park k ON k.id = i.location_id"""))
+
+@query("apply_payment_fees", with_tables(f"""WITH {PAID}
+SELECT payment_id, request_id, type AS application_fee_type_id, amount AS unit_principle FROM fee"""))
+def apply_payment_fees(t):
+    """Fee rows after the batch."""
+    requests = payment_requests(t)
+    tables = payment_batch.apply_payment_batch(catalog(t), requests, "batch", AS_OF)
+    rows = by_request(tables["invoice.ApplicationFeeDetail"], tables["requests"], requests)
+    return plain(rows.select("payment_id", "request_id", "application_fee_type_id", "unit_principle"), "unit_principle")
+
+
+@query("apply_payment_documents", with_tables(f"""WITH {PAID},
+s AS (SELECT payment_id, request_id, count(*) AS fees, sum(amount) AS total FROM fee GROUP BY 1, 2)
+SELECT CASE WHEN r.changed THEN r.k END AS payment_id, CASE WHEN NOT r.changed THEN r.k END AS request_id, 'new_' || r.k AS external_id, 3 AS status, k.brand_id, coalesce(s.fees, 0) AS fees, CAST(coalesce(s.total, 0) AS DOUBLE) AS fee_principle
+FROM r LEFT JOIN invoice_payment p ON r.changed AND p.id = r.k LEFT JOIN invoice_invoice_header i ON i.id = CASE WHEN r.changed THEN p.invoice_header_id ELSE r.k END LEFT JOIN park_park k ON k.id = i.location_id
+LEFT JOIN s ON CASE WHEN r.changed THEN s.payment_id ELSE s.request_id END = r.k WHERE NOT r.changed OR p.id IS NOT NULL"""))
 def apply_payment_documents(t):
-    """Documents of changed payments, read from what the batch left behind."""
-    cat = catalog(t)
-    result = payment_batch.apply_payment_batch(cat, payment_requests(t).filter(F.col("payment_id").isNotNull()), "batch", AS_OF)
-    docs = payment_batch.documents_after(cat, result)
+    """Documents of all payments concerned, read from what the batch left behind."""
+    cat, requests = catalog(t), payment_requests(t)
+    result = payment_batch.apply_payment_batch(cat, requests, "batch", AS_OF)
+    docs = by_request(payment_batch.documents_after(cat, result), result["requests"], requests)
     total = F.aggregate("ApplicationFeeDetails", F.lit(0).cast("double"), lambda acc, f: acc + f["UnitPrinciple"].cast("double"))
     return docs.select(
-        "payment_id", F.col("ExternalId").alias("external_id"), F.col("PaymentStatusId").alias("status"), F.col("InvoiceHeader.Location.Brand.Id").alias("brand_id"),
+        "payment_id", "request_id", F.col("ExternalId").alias("external_id"), F.col("PaymentStatusId").alias("status"), F.col("InvoiceHeader.Location.Brand.Id").alias("brand_id"),
         F.coalesce(F.array_size("ApplicationFeeDetails"), F.lit(0)).cast("long").alias("fees"), F.coalesce(total, F.lit(0.0)).alias("fee_principle"),
     )
 
 
+def payment_corrections(done):
+    """A second batch: every payment that the first one made or changed gets a new name and half the amount."""
+    named = done["invoice.Payment"].join(done["requests"].select(F.col("payment_id").alias("id"), "request_id"), "id")
+    body = _json(ExternalId=F.concat(F.lit("again_"), F.col("request_id")), Amount=(F.col("amount") / 2).cast("decimal(18,6)"), PaymentStatusId=F.lit(4), ApplicationFeeTotal=F.lit(1).cast("decimal(18,6)"))
+    none = F.lit(None).cast("string")
+    return named.select("request_id", F.col("id").alias("payment_id"), body.alias("payment"), none.alias("allocations"), none.alias("fees"))
+
+
+@query("apply_payments_twice", with_tables(f"""WITH {PAID},
+f AS (SELECT payment_id, sum(unit_principle + unit_tax) AS total, sum(CASE WHEN application_fee_type_id IN (1, 9) THEN unit_principle + unit_tax END) AS stated FROM invoice_application_fee_detail GROUP BY 1),
+c AS (SELECT r.*, o_totalprice, CASE WHEN with_fees THEN coalesce(f.total, 0) - coalesce(f.stated, 0) + 4 ELSE f.total END AS fee_sum FROM r JOIN orders ON o_orderkey = r.k LEFT JOIN f ON r.changed AND f.payment_id = r.k)
+SELECT external_id, CAST(amount AS DOUBLE) AS amount, payment_status_id, failure_message, CAST(application_fee_total AS DOUBLE) AS application_fee_total FROM invoice_payment WHERE id NOT IN (SELECT k FROM r WHERE changed)
+UNION ALL SELECT 'again_' || k, CAST(CAST(CAST(o_totalprice AS DECIMAL(18,6)) / 2 AS DECIMAL(18,6)) AS DOUBLE), 4, NULL, CAST(CASE WHEN fee_sum > 1 THEN fee_sum ELSE 1 END AS DOUBLE) FROM c WHERE NOT changed OR k IN (SELECT id FROM invoice_payment)"""))
+def apply_payments_twice(t):
+    """A second batch over the tables that the first one left behind."""
+    cat = catalog(t)
+    first = payment_batch.apply_payment_batch(cat, payment_requests(t), "batch", AS_OF)
+    first = {name: materialise(rows) for name, rows in first.items()}
+    second = payment_batch.apply_payment_batch(FrameCatalog(t.spark, first, cat), payment_corrections(first), "again", AS_OF)
+    return plain(second["invoice.Payment"].select("external_id", "amount", "payment_status_id", "failure_message", "application_fee_total"), "amount", "application_fee_total")
+
+
 # --- invoices -----------------------------------------------------------------------------------------
 
 def invoice_requests(t):
-    """For every invoice of a third of the even orders: a changed part line, a promotion on it and a new line."""
+    """For every order with lines: a changed part line, a promotion on it and a new line. Orders without an invoice come to nothing; 0 stands for a new invoice."""
     key = F.col("o_orderkey")
     line = lambda ident, ext, desc, parent=None, resource=None: F.struct(
         F.lit(ident).alias("Id"), desc.alias("Description"), F.lit(9).cast("decimal(18,6)").alias("UnitPrinciple"), F.lit(2).alias("Quantity"), ext.alias("ExternalId"),
@@ -91,25 +127,27 @@ def invoice_requests(t):
         line("3", F.concat(F.lit("N"), key), F.lit("new"), parent="1"),
     )
     parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("part"))
-    return t.orders.filter(key % 6 == 2).join(parts, "o_orderkey").select(
+    return t.orders.join(parts, "o_orderkey").select(
         key.alias("request_id"), key.alias("invoice_header_id"), _json(InvoiceStatusId=F.lit(5), RefundedInvoiceId=F.when(key % 4 == 0, key)).alias("header"), F.to_json(details).alias("details")
     )
 
 
-@query("apply_invoices", with_tables("""WITH r AS (SELECT o_orderkey AS h, 'X' || min(l_partkey) AS ext FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 6 = 2 GROUP BY 1),
+@query("apply_invoices", with_tables("""WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey = 0 THEN (SELECT max(id) + 1 FROM invoice_invoice_header) ELSE o_orderkey END AS h, 'X' || min(l_partkey) AS ext FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN invoice_invoice_header i ON i.id = o_orderkey GROUP BY o_orderkey),
 paid AS (SELECT invoice_detail_id FROM invoice_payment_invoice_detail WHERE payment_invoice_detail_status_id = 1),
 d AS (SELECT i.id, i.invoice_header_id, i.external_id, i.description, i.unit_principle, i.quantity, i.related_invoice_detail_id, r.h IS NOT NULL AS mine, r.ext,
    CASE WHEN r.h IS NOT NULL AND i.invoice_detail_status_id = 1 AND i.id NOT IN (SELECT invoice_detail_id FROM paid) THEN 2 ELSE i.invoice_detail_status_id END AS st FROM invoice_invoice_detail i LEFT JOIN r ON r.h = i.invoice_header_id),
 u AS (SELECT *, mine AND st = 1 AND external_id = ext AS hit FROM d),
-fresh AS (SELECT r.h, 'X' AS tag, r.ext AS external_id, CASE WHEN r.h % 4 = 0 THEN 'changed' END AS description FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.hit AND u.invoice_header_id = r.h)
-   UNION ALL SELECT h, 'P', ext || '-Promo', 'promo' FROM r UNION ALL SELECT h, 'N', 'N' || h, 'new' FROM r)
+fresh AS (SELECT r.h, 'X' AS tag, r.ext AS external_id, CASE WHEN r.k % 4 = 0 THEN 'changed' END AS description FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.hit AND u.invoice_header_id = r.h)
+   UNION ALL SELECT h, 'P', ext || '-Promo', 'promo' FROM r UNION ALL SELECT h, 'N', 'N' || k, 'new' FROM r)
 SELECT invoice_header_id, external_id, CASE WHEN hit AND invoice_header_id % 4 = 0 THEN 'changed' ELSE description END AS description, CAST(CASE WHEN hit THEN 9 ELSE unit_principle END AS DOUBLE) AS unit_principle, CASE WHEN hit THEN 2 ELSE quantity END AS quantity,
-  st AS invoice_detail_status_id, related_invoice_detail_id IS NOT NULL AS has_parent FROM u
-UNION ALL SELECT h, external_id, description, 9, 2, 1, tag <> 'X' FROM fresh"""))
+  st AS invoice_detail_status_id, (SELECT p.external_id FROM invoice_invoice_detail p WHERE p.id = u.related_invoice_detail_id) AS parent FROM u
+UNION ALL SELECT h, external_id, description, 9, 2, 1, CASE tag WHEN 'P' THEN replace(external_id, '-Promo', '') WHEN 'N' THEN (SELECT ext FROM r WHERE r.h = fresh.h) END FROM fresh"""))
 def apply_invoices(t):
     tables = invoice_batch.apply_invoice_batch(catalog(t), invoice_requests(t), "batch", AS_OF)
-    rows = tables["invoice.InvoiceDetail"].select(
-        "invoice_header_id", "external_id", "description", "unit_principle", "quantity", "invoice_detail_status_id", F.col("related_invoice_detail_id").isNotNull().alias("has_parent")
+    lines = tables["invoice.InvoiceDetail"]
+    parents = lines.select(F.col("id").alias("related_invoice_detail_id"), F.col("external_id").alias("parent"))
+    rows = lines.join(parents, "related_invoice_detail_id", "left").select(
+        "invoice_header_id", "external_id", "description", "unit_principle", "quantity", "invoice_detail_status_id", "parent"
     )
     return plain(rows, "unit_principle")
 
