@@ -79,6 +79,25 @@ def not_in_interval(left: DataFrame, blackout: DataFrame, date: str, start: str,
     return lefts.join(b, same & (F.col("__slot") == F.col("__b_slot")) & F.col(date).between(F.col("__s"), F.col("__e")), "left_anti").drop("__slot")
 
 
+def product_join(left: DataFrame, right: DataFrame, on, rows: int = 4_000_000, weight: Column | None = None) -> DataFrame:
+    """Equi-join of few keys, each with many rows on both sides, in tasks that put out about `rows` rows each.
+
+    Both sides may be small while their product is not, so that neither bytes nor keys tell how many tasks it takes. The left rows
+    of a key are dealt to as many shares as its product fills, and the right rows are repeated for each share. `weight`: what a
+    right row counts for, if more than one. Both sides are read twice.
+    """
+    keys = _on(on)
+    n, m = left.groupBy(*keys).agg(F.count("*").alias("__n")), right.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("__m"))
+    product = F.col("__n") * F.col("__m")
+    sizes = n.join(m, keys).select(*keys, F.least(F.ceil(product / F.lit(rows)), "__n").cast("int").alias("__shares"), product.alias("__product"))
+    tasks = 1 + int(sizes.agg(F.coalesce(F.sum(F.col("__product").cast("double")), F.lit(0.0))).first()[0] // rows)
+    sizes = sizes.drop("__product")
+    dealt = left.join(sizes, keys).withColumn("__share", F.pmod(F.xxhash64(*left.columns), F.col("__shares"))).drop("__shares")
+    repeated = right.join(sizes, keys).withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__shares") - F.lit(1).cast("long")))).drop("__shares")
+    # A number of partitions that is asked for is not joined up again by size in bytes.
+    return dealt.repartition(min(2 * tasks, 20_000), *keys, "__share").join(repeated, [*keys, "__share"]).drop("__share")
+
+
 def any_key_join(target: DataFrame, source: DataFrame, keys: list[str], target_id: str, source_id: str, on=()) -> DataFrame:
     """Pairs (target_id, source_id) that agree on at least one of several keys.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import scalars as X
 from turnstile.operators import filters as flt
+from turnstile.operators import joins as jn
 from turnstile.operators import merge as mg
 from turnstile.operators import windows as win
 from turnstile.queries.base import AS_OF, query
@@ -165,7 +166,7 @@ ON d.park = c_nationkey WHERE d.kind IN (3, 4, 5, 7)
 """)
 def insert_cross_docs(t):
     docs = t.supplier.filter((F.col("s_suppkey") % 8).isin(3, 4, 5, 7)).select(F.col("s_suppkey").alias("doc_id"), F.col("s_nationkey").alias("c_nationkey"))
-    return t.customer.join(docs, "c_nationkey").select("c_custkey", "doc_id")
+    return jn.product_join(t.customer.select("c_custkey", "c_nationkey"), docs, "c_nationkey").select("c_custkey", "doc_id")
 
 
 @query("rule_zeroing", """
