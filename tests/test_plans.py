@@ -357,3 +357,38 @@ def test_nothing_is_shuffled_after_requests_meet_packages(spark, sf):
     for name in ("packages", "package_documents"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Join")] and "__share" in plan[plan.index("Join") :].splitlines()[0]
+
+
+def test_notification_pairs_meet_once_and_are_never_shuffled(spark):
+    """Several ways to one user, read ones, equal ids: one row each; the join that makes pairs is the last shuffle."""
+    from turnstile.plans import notifications
+
+    day, at = dt.date(2024, 1, 5), dt.datetime(2024, 1, 10, 8)
+    cat = frames(spark, {
+        "auth.AdminUsers": ("id long, username string, notification_start_date date, deleted timestamp_ntz", [
+            (1, "one", day, None), (2, "two", day, None), (3, "three", dt.date(2024, 1, 11), None), (4, "four", day, at), (5, "five", day, None), (None, "six", day, None), (7, "seven", None, None)]),
+        "auth.AdminUserRoles": ("admin_user_id long, deleted timestamp_ntz", [(2, None), (5, at)]),
+        "auth.AdminUserRoleBrands": ("admin_user_id long, brand_id int, deleted timestamp_ntz", [(1, 10, None), (1, 11, None), (5, 11, at)]),
+        "auth.AdminUserRoleLocations": ("admin_user_id long, location_id int, deleted timestamp_ntz", [(1, 100, None)]),
+        "park.Park": ("id int, brand_id int", [(100, 10)]),
+        "notification.UserNotification": ("admin_user_id int, notification_id int", [(2, 21), (2, 99), (None, 20)]),
+        "releases.ReleaseImages": ("id int, image_extension string", []),
+        "releases.Releases": ("id int, version string, has_pdf boolean, release_image_id int", [(7, "v7", True, None), (8, "v8", False, None)]),
+        "releases.ReleaseBrands": ("release_id int, brand_id int", [(7, 10), (7, 11), (7, 11), (7, None)]),
+        "invoice.Chargeback": ("id long, external_id string, created_date timestamp_ntz", [(50, "py", at)]),
+        "invoice.Payment": ("external_id string, invoice_header_id long", [("py", 60)]),
+        "invoice.InvoiceHeader": ("id long, location_id int", [(60, 100)]),
+        "notification.Notification": (
+            "id long, title string, body string, notification_type_id int, release_id int, chargeback_id long, deleted timestamp_ntz, created_date timestamp_ntz",
+            [(20, "all", "", 2, None, None, None, at), (21, "both", "", 1, 7, 50, None, at), (22, "no pdf", "", 1, 8, None, None, at), (23, "gone", "", 2, None, None, at, at),
+             (24, "twice", "", 2, None, None, None, at), (24, "twice", "", 2, None, None, None, at), (25, "undated", "", 2, None, None, None, None)]),
+    })
+    users = spark.createDataFrame([("one",), ("two",), ("three",), ("four",), ("five",), ("six",), ("six",), ("seven",)], "username string")
+    rows = notifications.notifications(cat, users)
+    everybody = [(name, n) for name in ("one", "two", "five", "six") for n in (20, 24, 24)]
+    assert values(rows, "username", "notification_id") == sorted([*everybody, ("one", 21)], key=repr)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in text.split("== Initial Plan ==")[-1].splitlines() if any(word in line for word in ("Join", "Exchange", "Aggregate", "Generate"))]
+    # Read from the top: chunks are unpacked, then their join; no shuffle and no grouping above it.
+    assert "Generate explode(notes" in steps[0] and "Join" in steps[1]
+    assert not any("Aggregate" in line for line in steps[:2])
