@@ -392,3 +392,14 @@ def test_notification_pairs_meet_once_and_are_never_shuffled(spark):
     # Read from the top: chunks are unpacked, then their join; no shuffle and no grouping above it.
     assert "Generate explode(notes" in steps[0] and "Join" in steps[1]
     assert not any("Aggregate" in line for line in steps[:2])
+
+
+def test_payment_batch_parses_its_payloads_once(spark, sf):
+    """What a batch leaves behind goes on from parsed rows: only updates and their allocations are read from JSON again, no fee is."""
+    from turnstile.queries.batches import payment_requests
+
+    t = Tables(spark, sf)
+    tables = payment_batch.apply_payment_batch(DerivedCatalog.of(spark, sf), payment_requests(t), "batch", AS_OF)
+    parsed = {name: df._jdf.queryExecution().optimizedPlan().toString().count("from_json") for name, df in tables.items()}
+    assert parsed["requests"] == parsed["invoice.ApplicationFeeDetail"] == 0
+    assert parsed["invoice.Payment"] == 1

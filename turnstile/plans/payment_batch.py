@@ -12,6 +12,7 @@ from turnstile.operators.windows import keep_first
 from turnstile.plans.documents import payment_documents
 from turnstile.sources.catalog import Catalog, FrameCatalog, snake
 from turnstile.sources.rows import parse_json_rows
+from turnstile.sources.sinks import materialise
 
 # Fields of the three payloads.
 PAYMENT_JSON = """InvoiceHeaderId bigint, ExternalId string, CheckoutId string, CardReaderId string, IdempotencyKey string, Amount decimal(18,6), FeeAmount decimal(18,6),
@@ -43,9 +44,10 @@ def apply_payment_batch(cat: Catalog, batch: DataFrame, user: str, as_of=None) -
     stamp = {"modified_by": F.lit(user), "modified_date": now}
     is_new = F.coalesce(F.col("payment_id"), F.lit(0)) == 0
     parsed = shred(batch, "payment", PAYMENT_JSON, "request_id", "payment_id").drop("position")
-    fresh = mg.with_new_ids(parsed.filter(is_new).drop("payment_id"), payments, ["request_id"])
+    # Payloads are parsed and new payments numbered once; every table of the result goes on from these.
+    fresh = materialise(mg.with_new_ids(parsed.filter(is_new).drop("payment_id"), payments, ["request_id"]))
     known = batch.filter(~is_new).join(payments.select(F.col("id").alias("payment_id")), "payment_id", "left_semi")
-    made = fresh.select("request_id", F.col("id").alias("payment_id")).unionByName(known.select("request_id", "payment_id"))
+    made = materialise(fresh.select("request_id", F.col("id").alias("payment_id")).unionByName(known.select("request_id", "payment_id")))
 
     changes = parsed.filter(~is_new).withColumn("id", F.col("payment_id")).withColumnRenamed("request_id", "sequence")
     overwritten = [c for c in OVERWRITTEN if c in payments.columns]
@@ -65,7 +67,7 @@ def apply_payment_batch(cat: Catalog, batch: DataFrame, user: str, as_of=None) -
     fees = cat.table("invoice.ApplicationFeeDetail")
     keys = ["payment_id", "application_fee_type_id"]
     stated = shred(batch.drop("payment_id"), "fees", FEE_JSON, "request_id").join(made, "request_id")
-    stated = keep_first(stated, keys, [F.col("request_id").desc(), F.col("position").desc()])
+    stated = materialise(keep_first(stated, keys, [F.col("request_id").desc(), F.col("position").desc()]))
     fee_stamp = {c: v for c, v in stamp.items() if c in fees.columns}
     changed = mg.upsert(fees, stated, keys, overwrite=["unit_principle", "unit_tax"], stamp=fee_stamp, insert=False)
     absent = stated.join(fees.select(*keys), keys, "left_anti").withColumns({**stamp, "created_by": F.lit(user), "created_date": now})
