@@ -403,3 +403,28 @@ def test_payment_batch_parses_its_payloads_once(spark, sf):
     parsed = {name: df._jdf.queryExecution().optimizedPlan().toString().count("from_json") for name, df in tables.items()}
     assert parsed["requests"] == parsed["invoice.ApplicationFeeDetail"] == 0
     assert parsed["invoice.Payment"] == 1
+
+
+def test_detail_table_for_spark_gives_the_rows_of_the_portable_text(spark, tmp_path):
+    """Third lines name their order's first line, whatever lines are missing, unnumbered or there twice; only they meet it."""
+    from turnstile.sources import derived
+
+    money = {c: 1.0 for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+    numbers = [(2, 1), (2, 3), (4, 3), (6, 1), (6, 1), (6, 3), (6, 3), (8, None), (8, 2), (3, 1), (3, 3), (None, 3), (10, 1), (10, 4)]
+    rows = [{"l_orderkey": o, "l_linenumber": n, "l_partkey": 5, "l_suppkey": 6, **money, "l_returnflag": "N", "l_linestatus": "O", "l_shipdate": "1996-01-01"} for o, n in numbers]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = derived.DerivedCatalog(spark, str(tmp_path))
+    texts = {n: derived.TABLES[n] for n in ("x_line", "x_first", "invoice_invoice_detail")}
+    portable = spark.sql(texts["invoice_invoice_detail"].replace("x_line", "{x_line}").replace("x_first", "{x_first}"), x_line=plain._frame("x_line"), x_first=plain._frame("x_first"))
+    listed = lambda df: sorted(map(str, df.collect()))
+    expected = listed(portable)
+    assert len(expected) == 11
+    for cat in (plain, derived.DerivedCatalog.staged(spark, str(tmp_path), "x_line")):
+        details = cat.table("invoice.InvoiceDetail")
+        assert details.columns == portable.columns and listed(details) == expected
+        top = details._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+        assert top.startswith("Union"), top
+    copied = derived.DerivedCatalog.staged(spark, str(tmp_path), "x_line").table("payment.LineItem")
+    assert listed(copied) == listed(plain.table("payment.LineItem"))
+    assert "md5" not in copied._jdf.queryExecution().optimizedPlan().toString()
