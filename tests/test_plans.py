@@ -414,7 +414,7 @@ def test_detail_table_for_spark_gives_the_rows_of_the_portable_text(spark, tmp_p
     rows = [{"l_orderkey": o, "l_linenumber": n, "l_partkey": 5, "l_suppkey": 6, **money, "l_returnflag": "N", "l_linestatus": "O", "l_shipdate": "1996-01-01"} for o, n in numbers]
     schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
-    plain = derived.DerivedCatalog(spark, str(tmp_path))
+    plain = derived.DerivedCatalog(spark, str(tmp_path), derived.SPARK_TABLES)
     texts = {n: derived.TABLES[n] for n in ("x_line", "x_first", "invoice_invoice_detail")}
     portable = spark.sql(texts["invoice_invoice_detail"].replace("x_line", "{x_line}").replace("x_first", "{x_first}"), x_line=plain._frame("x_line"), x_first=plain._frame("x_first"))
     listed = lambda df: sorted(map(str, df.collect()))

@@ -8,7 +8,7 @@ from turnstile.plans import carts, invoice_batch, payment_batch, special_events
 from turnstile.queries.base import AS_OF, query
 from turnstile.queries.reports import catalog, plain
 from turnstile.sources.catalog import FrameCatalog
-from turnstile.sources.derived import with_tables
+from turnstile.sources.derived import SPARK_TABLES, DerivedCatalog, with_tables
 from turnstile.sources.sinks import materialise
 
 
@@ -283,7 +283,7 @@ LEFT JOIN booking_schedule_details sd ON sd.id = i.related_schedule_detail_id LE
   AND m.product_modifier_type_id = pp.product_modifier_type_id AND m.deleted IS NULL"""))
 def convert_cart_items(t):
     """Items of the opened bookings."""
-    tables = carts.convert_carts(catalog(t), cart_requests(t), AS_OF)
+    tables = carts.convert_carts(DerivedCatalog(t.spark, t.sf_dir, SPARK_TABLES), cart_requests(t), AS_OF)
     new = tables["converted"].filter("is_new").select("booking_id")
     rows = tables["booking.BookingItem"].join(new, "booking_id", "left_semi")
     return plain(
