@@ -20,9 +20,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from turnstile.llm.warc import file_system
 MAGIC, HEAD = b"TKF1", "<4sQQQQ"
 #: Ids in a file before the next is begun; the id that ends a document.
 FILE_TOKENS, END_ID = 8_000_000, 0
+#: Characters of texts whose different words are looked up together; a text of more stands alone or ends its group.
+TOGETHER_CHARS = 6_000_000
 #: White space as the tokenizer's pattern knows it, and the pieces into which a text may be cut.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -107,56 +111,81 @@ def parse(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 #: Two white-space characters in a row: such a text is cut by the pattern, any other at line ends and blanks.
 RUN = re.compile(f"[{_S}][{_S}]")
+#: A piece whose only white space is the blank or line end it begins with: the tokenizer's pattern cuts before it, whatever goes before.
+LED = re.compile(f"[ \n][^{_S}]+")
+#: A piece that ends in punctuation after a letter or digit, between which the pattern cuts too.
+ENDED = re.compile("(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]+)", re.DOTALL)
 
 
 class _Pieces:
-    """Ids of the pieces met so far, as bytes of 32-bit integers: as they are, and by what follows a leading blank.
-    Full, it keeps no more."""
+    """Ids of the pieces met so far, as bytes of 32-bit integers: as they are, and by what follows a leading blank (a line
+    end stays in front). Full, it keeps no more."""
 
-    MOST = 700_000
+    MOST, TOGETHER = 700_000, 64
 
     def __init__(self) -> None:
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.sizes: np.ndarray | None = None
 
     def learn(self, tokenizer, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces: many to one call, parted by line ends, of which no other token holds a part."""
-        end = tokenizer.encode("\n", add_special_tokens=False).ids
+        """Ids of pieces: many to one call where the pattern cuts between them, told apart by the bytes that each token stands for."""
+        if self.sizes is None:
+            vocab = tokenizer.get_vocab()
+            self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.sizes[list(vocab.values())] = [len(t) for t in vocab]  # a character for each byte
         found: dict[str, bytes] = {}
-        usual = [p for p in pieces if p and "\n" not in p and not p.isspace()]
-        for i in range(0, len(usual) if len(end) == 1 else 0, 500):
-            some = usual[i : i + 500]
-            ids = np.array(tokenizer.encode_batch_fast(["\n" + "\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == end[0])
-            if len(cuts) == len(some):
-                raw, starts, ends = ids.tobytes(), ((cuts + 1) * 4).tolist(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-                found.update(zip(some, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+        led = list(filter(LED.fullmatch, pieces))
+        groups = [led[i : i + self.TOGETHER] for i in range(0, len(led), self.TOGETHER)]
+        for some, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, ends = np.array(e.ids, "<u4"), np.cumsum([len(p.encode()) for p in some])
+            reached = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(reached, ends)
+            if cuts[-1] == len(ids) - 1 and (reached[cuts] == ends).all():
+                raw, to = ids.tobytes(), ((cuts + 1) * 4).tolist()
+                found.update(zip(some, map(raw.__getitem__, map(slice, [0, *to], to)), strict=False))
         rest = [p for p in pieces if p not in found]
         for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             found[p] = np.array(e.ids, "<u4").tobytes()
         return [found[p] for p in pieces]
 
+    def add(self, tokenizer, known: dict[str, bytes], keys: list[str], led) -> list[str]:
+        """Adds the keys that are not known and tells what was added; `led`: the piece that a key stands for."""
+        new = set(filterfalse(known.__contains__, keys))
+        ended = {k: m.groups() for k in new if (m := ENDED.fullmatch(k))}
+        marks = sorted({tail for _, tail in ended.values()})
+        after = dict(zip(marks, self.learn(tokenizer, marks), strict=True))
+        whole = sorted(new.difference(ended).union(stem for stem, _ in ended.values() if stem not in known))
+        known.update(zip(whole, self.learn(tokenizer, [led(k) for k in whole]), strict=True))
+        known.update({k: known[stem] + after[tail] for k, (stem, tail) in ended.items()})
+        return [*whole, *ended]
+
+    def joined(self, tokenizer, known: dict[str, bytes], cut: pa.ListArray, led) -> list[bytes]:
+        """Ids of the texts that are cut into keys: each different key is looked up once."""
+        words = cut.flatten().dictionary_encode()
+        keys, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        new = self.add(tokenizer, known, keys, led)
+        found = list(map(known.__getitem__, keys))
+        if len(self.plain) + len(self.spaced) > self.MOST:
+            for k in new:
+                del known[k]
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[at] - ends[:-1], n)].tobytes()
+        bounds = (4 * ends[cut.offsets.to_numpy()]).tolist()
+        return list(map(raw.__getitem__, map(slice, bounds, bounds[1:])))
+
     def encode(self, tokenizer, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as bytes of 32-bit integers."""
-        # A list a text: a piece as it is, then pieces that follow a blank each, and so on in turns of lines.
-        cut = [[line.split(" ") for line in t.split("\n")] if not RUN.search(t) else None for t in texts]
-        whole = [PIECE.findall(t) if c is None else None for c, t in zip(cut, texts, strict=True)]
-        plain = {"\n"}.union(*[w for w in whole if w is not None], [line[0] for c in cut if c for line in c])
-        spaced = set().union(*[line[1:] for c in cut if c for line in c])
-        new_plain, new_spaced = sorted(plain.difference(self.plain)), sorted(spaced.difference(self.spaced))
-        self.plain.update(zip(new_plain, self.learn(tokenizer, new_plain), strict=True))
-        self.spaced.update(zip(new_spaced, self.learn(tokenizer, [" " + p for p in new_spaced]), strict=True))
-        first, after, end = self.plain, self.spaced.__getitem__, self.plain["\n"]
-        out = [
-            b"".join(map(first.__getitem__, w)) if c is None else end.join([first[line[0]] + b"".join(map(after, line[1:])) for line in c])
-            for c, w in zip(cut, whole, strict=True)
-        ]
-        if len(self.plain) + len(self.spaced) > self.MOST:
-            for p in new_plain:
-                del self.plain[p]
-            for p in new_spaced:
-                del self.spaced[p]
-        return out
+        by_pattern = [bool(RUN.search(t)) for t in texts]
+        # Keys: a line end and what follows it, or what follows a blank; the text's own beginning counts as a line's.
+        led = [f"\n{t}".replace("\n", " \n")[1:] for t, r in zip(texts, by_pattern, strict=True) if not r]
+        pieces = [PIECE.findall(t) for t, r in zip(texts, by_pattern, strict=True) if r]
+        by_blanks = self.joined(tokenizer, self.spaced, pc.split_pattern(pa.array(led, pa.large_string()), " "), lambda k: k if k.startswith("\n") else f" {k}")
+        others, end = iter(self.joined(tokenizer, self.plain, pa.array(pieces, pa.list_(pa.large_string())), str)), len(self.learn(tokenizer, ["\n"])[0])
+        rest = iter(by_blanks)
+        return [next(others) if r else next(rest)[end:] for r in by_pattern]
 
 
 def _writer(folder: str, tokenizer_json: str, key: str, file_tokens: int):
@@ -186,8 +215,9 @@ def _writer(folder: str, tokenizer_json: str, key: str, file_tokens: int):
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for i in range(0, len(texts), 500):
-                for doc, raw in zip(ids[i : i + 500], known.encode(tokenizer, texts[i : i + 500]), strict=True):
+            group = np.cumsum([len(t) for t in texts]) // TOGETHER_CHARS
+            for i, j in pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]):
+                for doc, raw in zip(ids[i:j], known.encode(tokenizer, texts[i:j]), strict=True):
                     docs.append(doc), counts.append(len(raw) // 4 + 1)
                     parts.extend((raw, end))
                     held += counts[-1]
