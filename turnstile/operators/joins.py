@@ -133,6 +133,14 @@ def fallback_key_join(left: DataFrame, right: DataFrame, keys: list[str], pair:
     return found
 
 
+def left_lookup(left: DataFrame, right: DataFrame, on) -> DataFrame:
+    """Left join of which the left rows without a key, as they match nothing, are not shuffled."""
+    keys = _on(on)
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    found = left.filter(known).join(right, keys, "left")
+    return found.unionByName(left.filter(~known).select(*keys, *[c for c in left.columns if c not in keys]), allowMissingColumns=True)
+
+
 def apply_agg(outer: DataFrame, inner: DataFrame, on, aggs: dict[str, Column], zero: tuple[str, ...] = ()) -> DataFrame:
     """Aggregate of the matching inner rows next to every outer row.
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnstile.operators import joins as jn
 from turnstile.plans import carts, invoice_batch, payment_batch, special_events
 from turnstile.queries.base import AS_OF, query
 from turnstile.queries.reports import catalog, plain
 from turnstile.sources.catalog import FrameCatalog
 from turnstile.sources.derived import SPARK_TABLES, DerivedCatalog, with_tables
-from turnstile.sources.sinks import materialise
+from turnstile.sources.sinks import materialise, stage
 
 
 def _json(**members):
@@ -144,11 +145,10 @@ SELECT invoice_header_id, external_id, CASE WHEN hit AND invoice_header_id % 4 =
 UNION ALL SELECT h, external_id, description, 9, 2, 1, CASE tag WHEN 'P' THEN replace(external_id, '-Promo', '') WHEN 'N' THEN (SELECT ext FROM r WHERE r.h = fresh.h) END FROM fresh"""))
 def apply_invoices(t):
     tables = invoice_batch.apply_invoice_batch(catalog(t), invoice_requests(t), "batch", AS_OF)
-    lines = tables["invoice.InvoiceDetail"]
+    shown = ["invoice_header_id", "external_id", "description", "unit_principle", "quantity", "invoice_detail_status_id"]
+    lines = stage(tables["invoice.InvoiceDetail"].select("id", "related_invoice_detail_id", *shown))
     parents = lines.select(F.col("id").alias("related_invoice_detail_id"), F.col("external_id").alias("parent"))
-    rows = lines.join(parents, "related_invoice_detail_id", "left").select(
-        "invoice_header_id", "external_id", "description", "unit_principle", "quantity", "invoice_detail_status_id", "parent"
-    )
+    rows = jn.left_lookup(lines, parents, "related_invoice_detail_id").select(*shown, "parent")
     return plain(rows, "unit_principle")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +61,34 @@ def read_loads(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/*")
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside leave no shuffle files behind; for steps whose rows are kept elsewhere and that are run once."""
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut a long lineage: a reliable checkpoint that survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Cut a long lineage with a packed copy in the checkpoint folder, of which later steps read the columns they need.
+
+    The copy is smaller than a checkpoint, and the shuffles that made it leave the disk once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
