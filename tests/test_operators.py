@@ -174,3 +174,26 @@ def test_product_join_deals_a_hot_key_to_many_tasks(spark):
     assert out.count() == want.count() and out.select("id", "k", "other").exceptAll(want.select("id", "k", "other")).isEmpty()
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 8 and max(sizes) < out.count() / 3
+
+
+def test_product_join_repeats_neither_side_for_each_tile(spark):
+    left, right = spark.range(900).selectExpr("cast(id % 2 as int) as k", "id as a"), spark.range(700).selectExpr("cast(id % 2 as int) as k", "id as b")
+    odd = spark.createDataFrame([(None, 1), (7, 1)], "k int, a long")
+    met = jn.product_join(left.unionByName(odd), right, "k", 1000)
+    assert (met.count(), met.distinct().count(), met.filter("a % 2 <> b % 2").count()) == (900 * 350, 900 * 350, 0)
+    # 158 tiles a key, each of about 32 rows a side: what is dealt out grows with the sides times the square root of the tiles.
+    dealt = [int(n) for n in spread(met)]
+    assert max(dealt) < 20_000
+
+
+def spread(met):
+    """Rows that each side deals out to the tiles of a product join."""
+    plan, found = met._jdf.queryExecution().optimizedPlan(), []
+    jvm = met.sparkSession.sparkContext._jvm
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "RepartitionByExpression":
+            found.append(jvm.org.apache.spark.sql.classic.Dataset.ofRows(met.sparkSession._jsparkSession, node.child()).count())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
